@@ -1,6 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate
+from . import decontaminate, tokens
 
-QUERIES = {"op1_decontamination": decontaminate.op1_decontamination}
+QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_token_counts": tokens.op3_token_counts,
+}
 ORACLES = {"op1_decontamination": decontaminate.OP1_SQL}
