@@ -1,9 +1,16 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, tokens
+from . import decontaminate, packing, tokens, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_url_filter": urlfilter.op4_url_filter,
+    "op6_packing": packing.op6_packing,
+    "op7_warc": warc.op7_warc,
+}
+ORACLES = {
+    "op1_decontamination": decontaminate.OP1_SQL,
+    "op4_url_filter": urlfilter.OP4_SQL,
+    "op7_warc": warc.OP7_SQL,
 }
-ORACLES = {"op1_decontamination": decontaminate.OP1_SQL}
