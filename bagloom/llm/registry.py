@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, fingerprints, packing, tokens, urlfilter, warc
+from . import decontaminate, fingerprints, packing, tokens, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
