@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, fingerprints, packing, tokens, toxicity, urlfilter, warc
+from . import decontaminate, fingerprints, language, packing, tokens, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_url_filter": urlfilter.op4_url_filter,
+    "op5_language_id": language.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_warc": warc.op7_warc,
     "op8_fingerprints": fingerprints.op8_fingerprints,
