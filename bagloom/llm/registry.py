@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, fingerprints, language, packing, tokens, toxicity, urlfilter, warc
+from . import decontaminate, fingerprints, language, packing, pii, tokens, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
     "op1_decontamination": decontaminate.OP1_SQL,
