@@ -1,0 +1,25 @@
+"""Connected components of links that are spread over executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import keep
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows (a, b) of links give rows (node, comp): the least node that each can reach.
+
+    Each round takes the least label among neighbours and then the label of that label, so long chains halve.
+    Labels are written to the shared folder after each round. A node with very many links is a skewed join key,
+    which adaptive execution splits; labels of its neighbours meet as partial minima."""
+    both = keep(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), "links")
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
+        nearer = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("to"))
+        jumped = nearer.join(labels.select(F.col("node").alias("to"), F.col("comp").alias("beyond")), "to", "left")
+        labels = keep(jumped.select("node", "old", F.least("to", F.coalesce("beyond", "to")).alias("comp")), "labels")
+        if labels.where("comp <> old").isEmpty():
+            return labels.select("node", "comp")
