@@ -397,6 +397,12 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "same").alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The rows, with all their columns, whose document has the least id of its group. Rows without an id or without words stay."""
+    gone = groups(docs, width, threshold).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), width=3, threshold=90)
 
