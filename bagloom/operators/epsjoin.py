@@ -15,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import vectors as V
 from ..storage import keep
 
 #: Coordinates that are cut at most, the width of a cell in eps, and dimensions whose bounds are compared.
-COORDINATES, CELL, COMPARED = 5, 4.0, 16
+COORDINATES, CELL, COMPARED = 6, 3.0, 16
 
 
 def dimensions(bags: DataFrame) -> int:
@@ -35,29 +36,35 @@ def dimensions(bags: DataFrame) -> int:
 def _boxed(bags: DataFrame, dims: int) -> DataFrame:
     """pos, bag and the box's bounds as columns c0, c1, ...; written, so that bounds are computed once."""
     sound = bags.where((F.size("instances") > 0) & ~V.has_nan(F.col("instances")))
-    bounds = [f(F.transform("instances", lambda p, k=k: F.get(p, k))).alias(f"c{2 * k + n}") for k in range(min(dims, COMPARED)) for n, f in enumerate((F.array_min, F.array_max))]
-    return keep(sound.select("pos", F.col("instances").alias("bag"), *bounds), "boxes")
+    bounds = [f(V.values(F.col("instances"), k)).alias(f"c{2 * k + n}") for k in range(min(dims, COMPARED)) for n, f in enumerate((F.array_min, F.array_max))]
+    ready = sound.select("pos", F.col("instances").alias("bag"), *bounds)
+    return keep(ready.repartition(int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pos"), "boxes")  # little data, much work
 
 
-def _cut(boxes: DataFrame, eps: float) -> list[str]:
-    """Coordinates to cut, those that spread most first."""
+def _spread(boxes: DataFrame) -> tuple[list[tuple[float, str]], float]:
+    """How far each bound spreads, widest first, and the greatest absolute value of all."""
     names = [c for c in boxes.columns if c not in ("pos", "bag")]
-    spread = boxes.agg(*[(F.max(c) - F.min(c)).alias(c) for c in names]).first()
-    ranked = sorted(((-(spread[c] or 0.0), i, c) for i, c in enumerate(names)))
-    return [c for s, _, c in ranked if -s > CELL * eps][:COORDINATES]
+    found = boxes.agg(*[F.min(c).alias(f"low_{c}") for c in names], *[F.max(c).alias(f"high_{c}") for c in names]).first()
+    if found is None or found[0] is None:
+        return [], 0.0
+    ranked = sorted(((found[f"high_{c}"] - found[f"low_{c}"], c) for c in names), key=lambda x: -x[0])
+    return ranked, max(abs(v) for v in found)
 
 
 def near(left: DataFrame, right: DataFrame, eps: float, dims: int, metric: str = "hausdorff") -> DataFrame:
     """(pos_a, pos_b, dist) of all pairs of a left and a right bag with dist <= eps."""
-    a = _boxed(left, dims)
-    return _near(a, _boxed(right, dims), eps, dims, metric)
+    return _near(_boxed(left, dims), _boxed(right, dims), eps, dims, metric)
 
 
-def _near(a: DataFrame, b: DataFrame, eps: float, dims: int, metric: str) -> DataFrame:
-    wide = eps * (1 + 1e-9) + 1e-12
+def _near(a: DataFrame, b: DataFrame, eps: float, dims: int, metric: str, once: bool = False) -> DataFrame:
+    """once: of two sides that are the same bags, only pairs in order of position.
+
+    Boxes are joined without the bags, so that crowded cells move little; the few pairs that pass fetch their bags."""
+    ranked, greatest = _spread(a)
+    wide = eps * (1 + 1e-9) + 1e-9 * greatest
     names = [c for c in a.columns if c not in ("pos", "bag")]
-    cut = _cut(a, eps) if eps > 0 else []
-    x, y = (t.select([F.col(c).alias(f"{c}_{side}") for c in t.columns]) for t, side in ((a, "a"), (b, "b")))
+    cut = [c for s, c in ranked if s > CELL * wide > 0][:COORDINATES]
+    x, y = (t.select([F.col(c).alias(f"{c}_{side}") for c in t.columns if c != "bag"]) for t, side in ((a, "a"), (b, "b")))
     width = CELL * wide
     for c in cut:
         x = x.withColumn(f"cell_{c}", F.floor(F.col(f"{c}_a") / width))
@@ -65,9 +72,19 @@ def _near(a: DataFrame, b: DataFrame, eps: float, dims: int, metric: str) -> Dat
         y = y.withColumn(f"cell_{c}", F.explode(F.array_distinct(F.array(*edges))))
     met = x.join(y, [f"cell_{c}" for c in cut]) if cut else x.join(y)
     for c in names:
-        met = met.where(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= wide + 1e-9 * F.abs(F.col(f"{c}_a")))
-    dist = V.metric(metric)(F.col("bag_a"), F.col("bag_b"), dims)
-    return met.select("pos_a", "pos_b", dist.alias("dist")).where(F.col("dist") <= eps)
+        met = met.where(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= wide)
+    pairs = (met.where("pos_a < pos_b") if once else met).select("pos_a", "pos_b")
+    bags = [t.select(F.col("pos").alias(f"pos_{side}"), F.col("bag").alias(f"bag_{side}")) for t, side in ((a, "a"), (b, "b"))]
+    fetched = pairs.join(bags[0], "pos_a").join(bags[1], "pos_b").select("pos_a", "pos_b", "bag_a", "bag_b")
+    return _measured(fetched, dims, metric).where(F.col("dist") <= eps)
+
+
+def _measured(pairs: DataFrame, dims: int, metric: str) -> DataFrame:
+    """Pairs with their bags (x, y, bag of x, bag of y) as (x, y, dist)."""
+    x, y, a, b = pairs.columns
+    if metric.lower() == "hausdorff":
+        return kernels.with_distance(pairs, dims)
+    return pairs.select(x, y, V.metric(metric)(F.col(a), F.col(b), dims).alias("dist"))
 
 
 def links(bags: DataFrame, eps: float, dims: int | None = None, metric: str = "hausdorff") -> DataFrame:
@@ -76,8 +93,8 @@ def links(bags: DataFrame, eps: float, dims: int | None = None, metric: str = "h
     if dims == 0:
         return bags.sparkSession.createDataFrame([], "a long, b long, dist double")
     boxes = _boxed(bags, dims)
-    found = _near(boxes, boxes, eps, dims, metric)
-    return found.where("pos_a < pos_b").select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "dist")
+    found = _near(boxes, boxes, eps, dims, metric, once=True)
+    return found.select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "dist")
 
 
 def all_pairs(bags: DataFrame, dims: int | None = None, metric: str = "hausdorff") -> DataFrame:
@@ -85,4 +102,4 @@ def all_pairs(bags: DataFrame, dims: int | None = None, metric: str = "hausdorff
     dims = dims or dimensions(bags)
     x = bags.select(F.col("pos").alias("a"), F.col("instances").alias("x"))
     y = bags.select(F.col("pos").alias("b"), F.col("instances").alias("y"))
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", V.metric(metric)(F.col("x"), F.col("y"), dims).alias("dist"))
+    return _measured(x.join(y, F.col("a") < F.col("b")).select("a", "b", "x", "y"), dims, metric)

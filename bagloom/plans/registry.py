@@ -1,5 +1,7 @@
 """Named queries over the shared tables and the SQL that must give the same rows."""
 
+from . import oracles, queries
+
 FLAGSHIP = "order_eps_neighbours"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = {f.__name__: f for f in queries.ALL}
+ORACLES = dict(oracles.ALL)
