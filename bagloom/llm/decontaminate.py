@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, cached, small, table, turn_to
 
 #: A-Z become a-z; 0-9, a-z and every byte from 0x80 stay; all others separate words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -74,7 +74,7 @@ def automaton_of(block: list[tuple[bytes, int, list[str]]]):
 
 
 #: In a worker process: the last automaton that was built, by its block's name.
-_built: dict = {}
+_built = cached("decontamination", {})
 
 
 def _automaton(name: str, block):
@@ -116,6 +116,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int):
     blocks = [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in blocks_of(benchmark, width, block_bytes)]
 
     def hits(raw: list[bytes | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        turn_to("decontamination")
         counts, ranges, items = [0] * len(raw), [[] for _ in raw], [set() for _ in raw]
         for name, block in blocks or [("", None)]:
             automaton = _automaton(name, block) if block is not None else None
@@ -136,7 +137,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: in
     hits = _hits(docs, benchmark, width, block_bytes)
 
     def scanned(batches):
-        for batch in batches:
+        for batch in small(batches):
             raw = as_bytes(batch.column(1))
             counts, ranges, items = hits(raw)
             yield pa.RecordBatch.from_arrays(
@@ -155,13 +156,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows, with all their columns, whose text holds no benchmark window. No shuffle: each row is judged where it is read."""
-    hits, at = _hits(docs, benchmark, width, block_bytes), docs.columns.index("text")
+    hits = _hits(docs, benchmark, width, block_bytes)
 
-    def kept(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([not r for r in hits(as_bytes(batch.column(at)))[1]], pa.bool_()))
+    def free(texts: pa.Array) -> pa.Array:
+        return pa.array([not r for r in hits(as_bytes(texts))[1]], pa.bool_())
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.where(F.arrow_udf(free, "boolean")(F.col("text").cast("string")))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

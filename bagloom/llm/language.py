@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cached, small, table, turn_to
 
 DIMENSIONS, SEED, UNKNOWN = 512, 20, "und"
 #: Characters that are counted together, and languages that prototypes are broadcast for (8 MB).
@@ -83,10 +83,11 @@ def counted(space: Space, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return counts, space.triples(alphabet[seen // base**2], alphabet[seen // base % base], alphabet[seen % base])
 
 
-_spaces: dict = {}
+_spaces = cached("language", {})
 
 
 def space_of(dimensions: int, seed: int) -> Space:
+    turn_to("language")
     if (dimensions, seed) not in _spaces:
         _spaces[dimensions, seed] = Space(dimensions, seed)
     return _spaces[dimensions, seed]
@@ -109,7 +110,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
 
     def bundled(batches):
         space, sums = space_of(dimensions, seed), {}
-        for batch in batches:
+        for batch in small(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in parts_of(texts):
                 counts, vectors = counted(space, texts[a:b])
@@ -135,7 +136,7 @@ def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray, dimens
 
     def judged(batches):
         space, (names, known) = space_of(dimensions, seed), sent.value
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(2).to_pylist()
             langs, scores = [], []
             for a, b in parts_of(texts):

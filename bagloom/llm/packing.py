@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 from .tokens import encoder, slices, vocabulary_path
 
 LENGTH, END_ID, GROUP = 2048, 1, 4096
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, path: str, room: int = LENGTH, end_id: int = END_ID,
 
     def cut(batches):
         encode, tail = encoder(path, False), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             texts, own = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             rows = []
             for a, b in slices(texts):

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cached, small, table, turn_to
 
 #: The vocabulary file that queries use; operators take any other as a parameter.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that the memo keeps, their greatest length, and bytes that the library encodes at once.
-MEMO, MEMO_CHARS, BATCH_BYTES = 400_000, 48, 256 << 10
+MEMO, MEMO_CHARS, BATCH_BYTES = 150_000, 48, 256 << 10
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^\s| |\s$|^$")
 
@@ -148,17 +148,18 @@ class Encoder:
         return out
 
 
-_encoders: dict = {}
+_encoders = cached("tokens", {})
 
 
 def encoder(path: str, only_count: bool) -> Encoder:
     """One for each worker process, file and kind of result."""
+    turn_to("tokens")
     if (path, only_count) not in _encoders:
         _encoders[path, only_count] = Encoder(path, only_count)
     return _encoders[path, only_count]
 
 
-def slices(texts: list, most: int = 4 << 20):
+def slices(texts: list, most: int = 2 << 20):
     """Ranges of texts of about so many characters, so that memory holds the pieces of few texts at once."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -175,7 +176,7 @@ def counts(docs: DataFrame, path: str) -> DataFrame:
 
     def counted(batches):
         count = encoder(path, True)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             n = [sum(x) for a, b in slices(texts) for x in count(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -29,16 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, cached, small, table, turn_to
 from .decontaminate import words_of
 
 SAMPLE, BUCKETS, FEATURES, GRADES = 12_000, 1 << 20, 20_000, 4
-_words: dict[bytes, int] = {}
+_words: dict[bytes, int] = cached("toxicity", {})
 
 
 def buckets_of(words) -> list[int]:
     """Hash buckets of words; a worker keeps those of words that it has seen."""
-    if len(_words) > 300_000:
+    turn_to("toxicity")
+    if len(_words) > 100_000:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -62,7 +63,8 @@ class Model:
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         """The chance of more than each grade but the last."""
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(self.thresholds[None, :] - scores[:, None]))
 
     def judge(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected severity, likeliest grade, whether rejected."""
@@ -110,7 +112,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic int")), "doc_id")
 
     def features(batches):
-        for batch in batches:
+        for batch in small(batches):
             counted = [Counter(words_of(t)) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([buckets_of(c) for c in counted], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["toxic", "doc_id", "buckets", "counts"])
 
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        for batch in batches:
+        for batch in small(batches):
             severity, grade, rejected = sent.value.judge(as_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array(rejected, pa.bool_())], names=["doc_id", "severity", "grade", "rejected"])
 
@@ -179,13 +181,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are not rejected, with all their columns."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kept(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~sent.value.judge(as_bytes(batch.column(at)))[2], pa.bool_()))
+    def fine(texts: pa.Array) -> pa.Array:
+        return pa.array(~sent.value.judge(as_bytes(texts))[2], pa.bool_())
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.where(F.arrow_udf(fine, "boolean")(F.col("text").cast("string")))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
