@@ -6,9 +6,11 @@ documents link if their sets' Jaccard similarity reaches the threshold. The join
 1. Windows. Tasks take documents in windows of bounded size. Equal sets of a window count as one. The global
    n-gram order, that of the hashes, is cut into more fragments than a linked pair can have differences, so a
    linked pair has an equal fragment; the number of cuts depends on a class of sizes, and a document that can link
-   into the next class is cut by that one too. Fragments with hardly any n-gram are spare: there are as many more
-   cuts as may be skipped, and where more would be, all are kept. Documents of a window that share a fragment are
-   compared at once with the first of them, so large groups of copies shrink before anything is shuffled.
+   into the next class is cut by that one too. Small fragments match by chance, so there are spare cuts, and a
+   document skips its smallest fragments, all up to some size, as far as these are no more than the spare cuts. A
+   linked pair has more equal fragments than spare cuts, so one is left that neither skips. Documents of a window
+   that share a fragment are compared at once with the first of them, so large groups of copies shrink before
+   anything is shuffled.
 2. Suspects. One entry for each fragment and group of the window is dealt out by the fragment. Only groups that
    share a fragment with another group go on; most documents end here. No pairs are made.
 3. Counting. The suspects' distinct sets are put in a second global order, rare n-grams first, by exact counts over
@@ -16,6 +18,8 @@ documents link if their sets' Jaccard similarity reaches the threshold. The join
 4. Candidates. Linked documents share one of the first few n-grams of this order (and have room for enough overlap
    after it). First each is paired with one pivot for each such n-gram, then, in the groups that are still
    apart, with all of other groups; pairs within a group never need to be made.
+   Pairs with more differences than a linked pair can have are not made: n-grams of one suspect alone differ, and
+   so do parity bits of sets with other n-grams (each bit says whether the n-grams that hash to it are odd in number).
 5. Verification. For each pair, the overlap is counted fragment by fragment, and summed.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a null id
@@ -32,13 +36,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, as_bytes, keep, partitions, table
-from .components import components
+from ..operators.components import components
+from .common import LOWER_AZ, as_bytes, cached, keep, partitions, small, table, turn_to
 
 #: N-grams in one window of a task, and rounds of pivots before all remaining pairs are made.
-WINDOW, PIVOT_ROUNDS = 2_000_000, 2
+WINDOW, PIVOT_ROUNDS = 400_000, 2
+#: Sizes of fragments, from 0, that can be skipped.
+SKIPPED = 6
 #: Fragments of the second order: counts of 2-3, 4-7, ... and the last beyond.
 COUNT_FRAGMENTS = 8
+#: 64-bit words of parity bits of a set.
+PARITY_WORDS = 8
+_PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 _U = np.uint64
 _RECORD = "kind int, doc long, same long, root long, n int, h1 long, h2 long"
 _DEALT = "bucket int, kind int, n int, base long, data binary"
@@ -53,13 +62,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_hashes = _Hashes()
+_hashes = cached("ngrams", _Hashes())
 
 
 def ngram_set(raw: bytes | None, width: int) -> np.ndarray:
@@ -85,7 +94,7 @@ def classes(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least.append(max(least[-1] + 1, least[-1] * 3 // 2))
     most = np.array(least[1:], np.int64) - 1
     differ = 2 * most * (100 - threshold) // (100 + threshold)
-    spare = differ // 16
+    spare = differ // 4
     return np.array(least, np.int64), differ + 1 + spare, spare
 
 
@@ -111,15 +120,18 @@ def fragment_keys(sets: list[np.ndarray], threshold: int) -> tuple[np.ndarray, n
         count = np.diff(np.append(starts, len(values)))
         total = np.add.reduceat(mixed(values), starts)
         owner = at[starts]
-        thin = count <= (1 if threshold >= 85 else 0)
-        filled = np.bincount(owner, minlength=len(which))
-        skipped = m - filled + np.bincount(owner[thin], minlength=len(which))
-        must = skipped > spare[level]
-        kept = ~thin | must[owner]
+        # skipped: fragments of at most so many n-grams, the most that the spare cuts allow (-1: not even empty ones)
+        below = m - np.bincount(owner, minlength=len(which))
+        skip = np.full(len(which), -1)
+        skip += below <= spare[level]
+        for size in range(1, SKIPPED):
+            below = below + np.bincount(owner[count == size], minlength=len(which))
+            skip += below <= spare[level]
+        kept = count > skip[owner]
         salt = mixed(level[owner].astype(_U) * _U(0x632BE59BD9B4E019) + (group[starts] - offset[owner]).astype(_U))
         keys.append(mixed(total + salt + count.astype(_U))[kept])
         owners.append(which[owner[kept]])
-        for i in np.flatnonzero(must & (filled < m)):  # too many are empty: these count too
+        for i in np.flatnonzero((skip < 0) & (np.bincount(owner, minlength=len(which)) < m)):  # too many are empty: these count too
             empty = np.setdiff1d(np.arange(m[i]), group[starts[owner == i]] - offset[i])
             keys.append(mixed(mixed(np.full(len(empty), level[i], _U) * _U(0x632BE59BD9B4E019) + empty.astype(_U))))
             owners.append(np.full(len(empty), which[i]))
@@ -212,8 +224,9 @@ class _Window:
 
 def _windows(width: int, threshold: int, buckets: int):
     def run(batches):
+        turn_to("ngrams")
         window, lost = _Window(threshold, buckets), []
-        for batch in batches:
+        for batch in small(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 ngrams = ngram_set(raw, width)
                 if doc is None:
@@ -231,6 +244,7 @@ def _windows(width: int, threshold: int, buckets: int):
 
 def _suspects(batches):
     """Records pass; of keys, the groups that share one with another group."""
+    turn_to("ngrams")
     keys, holders, names = [], [], ["kind", "doc", "same", "root", "n", "h1", "h2"]
     for batch in batches:
         for kind, data in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -268,8 +282,9 @@ def _dealt_sets(width: int, buckets: int):
         return _packed(_bucket(values[by], buckets), 0, [values[by], docs[by].view(_U), sizes[by]])
 
     def run(batches):
+        turn_to("ngrams")
         part, size = [], 0
-        for batch in batches:
+        for batch in small(batches):
             for doc, raw, n, h1 in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 ngrams = ngram_set(raw, width)
                 if len(ngrams) == n and int(mixed(ngrams).sum(dtype=_U).view(np.int64)) == h1:  # an id can repeat with another text
@@ -312,47 +327,53 @@ def _counted(buckets: int):
 
 
 def _ordered(batches):
-    """Each suspect's n-grams that others share, rare ones first, cut into fragments by count."""
+    """A row for each suspect: its n-grams that others share, rare ones first, cut into fragments by count; and their parity bits."""
     values, docs, sizes, count = _columns_of(batches, 4)
     by = np.lexsort((values, count, docs))
     values, docs, sizes, count = values[by], docs[by], sizes[by].astype(np.int64), count[by]
     if not len(docs):
         return
     fragment = np.minimum(np.floor(np.log2(count.astype(np.float64))).astype(np.int64) - 1, COUNT_FRAGMENTS - 1)
-    first = np.append(True, np.diff(docs) != 0)
-    start_of = np.maximum.accumulate(np.where(first, np.arange(len(docs)), 0))
-    held = np.bincount(np.cumsum(first) - 1)
-    starts = np.flatnonzero(first | np.append(True, np.diff(fragment) != 0))
+    starts = np.flatnonzero(np.append(True, np.diff(docs) != 0))
     ends = np.append(starts[1:], len(docs))
-    owner = np.cumsum(first)[starts] - 1
-    n = sizes[starts]
-    for a in range(0, len(starts), 20_000):
-        b = min(a + 20_000, len(starts))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts[a:b], ends[b - 1]) - starts[a], pa.int32()), pa.array(values[starts[a] : ends[b - 1]].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[starts[a:b]].view(np.int64)), pa.array(n[a:b]), pa.array(fragment[starts[a:b]].astype(np.int32)), pa.array(n[a:b] - held[owner[a:b]] + starts[a:b] - start_of[starts[a:b]]), lists], names=["doc", "n", "fragment", "at", "ngrams"])
+    owner = np.repeat(np.arange(len(starts)), ends - starts)
+    inner = np.bincount(owner * COUNT_FRAGMENTS + fragment, minlength=len(starts) * COUNT_FRAGMENTS)
+    bit = _U(1) << (values & _U(63))
+    word = ((values >> _U(6)) % _U(PARITY_WORDS)).astype(np.int64)
+    parity = [np.bitwise_xor.reduceat(np.where(word == w, bit, _U(0)), starts).view(np.int64) for w in range(PARITY_WORDS)]
+    for a in range(0, len(starts), 5000):
+        b = min(a + 5000, len(starts))
+        cuts = np.concatenate([[0], np.cumsum(inner[a * COUNT_FRAGMENTS : b * COUNT_FRAGMENTS])])
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values[starts[a] : ends[b - 1]].view(np.int64)))
+        nested = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * COUNT_FRAGMENTS, pa.int32()), lists)
+        rest = sizes[starts[a:b]] - (ends[a:b] - starts[a:b])
+        yield pa.RecordBatch.from_arrays([pa.array(docs[starts[a:b]].view(np.int64)), pa.array(sizes[starts[a:b]]), pa.array(rest), nested, *(pa.array(p[a:b]) for p in parity)], names=["doc", "n", "own", "fragments", *_PARITY])
 
 
 def verified(pairs: DataFrame, ordered: DataFrame, threshold: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those that link: overlaps are counted by fragment and summed."""
-    part = ordered.select("doc", "fragment", "ngrams")
-    left = pairs.join(part.select(F.col("doc").alias("a"), "fragment", F.col("ngrams").alias("x")), "a")
-    both = left.join(part.select(F.col("doc").alias("b"), "fragment", F.col("ngrams").alias("y")), ["b", "fragment"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("overlap"))
-    return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb")).where((F.col("overlap") * (100 + threshold)) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
+    """Of pairs (a, b), those that link: overlaps are counted fragment by fragment and summed."""
+    side = lambda d: ordered.select(F.col("doc").alias(d), F.col("n").alias(f"n{d}"), F.col("fragments").alias(f"f{d}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    overlap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y))), F.lit(0), lambda s, v: s + v)
+    return both.where((overlap * (100 + threshold)) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _can_link(x: str, y: str, threshold: int):
-    """Sizes are close enough, and after the common n-gram enough are left on both sides."""
+    """Sizes are close enough; after the common n-gram enough are left on both sides; and there are not more
+    differences than a linked pair has: those n-grams that nobody shares, and at least the parity bits that differ."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     room = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
-    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (room * (100 + threshold) >= threshold * (n + m))
+    differ = F.col(f"{x}.own") + F.col(f"{y}.own")
+    for p in _PARITY:
+        differ = differ + F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}")))
+    return (100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (room * (100 + threshold) >= threshold * (n + m)) & (differ * (100 + threshold) <= (100 - threshold) * (n + m))
 
 
 def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (the least doc_id that links lead to)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = max(partitions(spark), 2 * texts.rdd.getNumPartitions())
+    buckets = max(partitions(spark), 4 * texts.rdd.getNumPartitions())
     first = texts.mapInArrow(_windows(width, threshold, buckets), _DEALT).repartition(buckets, "bucket")
     first = keep(first.mapInArrow(_suspects, _RECORD), "windows")
     records = first.where("kind <> 1")
@@ -366,33 +387,36 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     chosen = known.where("suspect").select(F.col("lead").alias("doc_id"), "n", "h1").distinct()
     dealt = texts.join(chosen, "doc_id").select("doc_id", "text", "n", "h1").mapInArrow(_dealt_sets(width, buckets), _DEALT).repartition(buckets, "bucket")
     by_doc = dealt.mapInArrow(_counted(buckets), _DEALT).repartition(buckets, "bucket")
-    ordered = keep(by_doc.mapInArrow(_ordered, "doc long, n long, fragment int, at long, ngrams array<long>"), "ordered")
-    reach = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    few = F.slice("ngrams", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ngrams"), reach - F.col("at"))).cast("int"))
-    prefix = ordered.select("doc", "n", "at", F.posexplode(few).alias("i", "ngram")).select("doc", "n", (F.col("at") + F.col("i")).alias("at"), "ngram")
-    prefix = keep(prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "at", "ngram", F.coalesce("comp", "doc").alias("comp")), "prefix")
+    ordered = keep(by_doc.mapInArrow(_ordered, "doc long, n long, own long, fragments array<array<long>>, " + ", ".join(f"{p} long" for p in _PARITY)), "ordered")
+    # positions count from the n-grams that nobody shares: they come first in the order
+    reach = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - F.col("own")
+    few = F.slice(F.flatten("fragments"), F.lit(1), F.greatest(F.lit(0), reach).cast("int"))
+    carried = ["doc", "n", "own", *_PARITY]
+    prefix = ordered.select(*carried, F.posexplode(few).alias("i", "ngram")).select(*carried, (F.col("own") + F.col("i")).alias("at"), "ngram")
+    carried += ["at", "ngram"]
+    prefix = keep(prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(*carried, F.coalesce("comp", "doc").alias("comp")), "prefix")
     for turn in range(PIVOT_ROUNDS + 1):
-        mixed_up = prefix.groupBy("ngram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("doc", "n", "at", "comp"), F.xxhash64("doc", F.lit(turn))).alias("pivot")).where("low < high")
+        mixed_up = prefix.groupBy("ngram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct(*[c for c in carried if c != "ngram"], "comp"), F.xxhash64("doc", F.lit(turn))).alias("pivot")).where("low < high")
         if turn < PIVOT_ROUNDS:
             met = prefix.alias("x").join(mixed_up.select("ngram", "pivot.*").alias("y"), "ngram").where("x.comp <> y.comp")
         else:
             apart = prefix.join(mixed_up.select("ngram"), "ngram", "left_semi")
             met = apart.alias("x").join(apart.alias("y"), "ngram").where("x.comp < y.comp")
         flip = F.col("x.doc") < F.col("y.doc")
-        side = lambda c: (F.when(flip, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(flip, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
-        pairs = met.where(_can_link("x", "y", threshold)).select(side("doc")[0].alias("a"), side("doc")[1].alias("b"), side("n")[0].alias("na"), side("n")[1].alias("nb"), side("comp")[0].alias("ca"), side("comp")[1].alias("cb")).distinct()
+        low, high = (lambda c: F.when(flip, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))), (lambda c: F.when(flip, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+        pairs = met.where(_can_link("x", "y", threshold)).select(low("doc").alias("a"), high("doc").alias("b"), low("comp").alias("ca"), high("comp").alias("cb")).distinct()
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
             if turn == PIVOT_ROUNDS or mixed_up.isEmpty():
                 break
             continue
-        found = keep(verified(pairs.drop("ca", "cb"), ordered, threshold).join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]), "found")
+        found = keep(verified(pairs, ordered, threshold).join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]), "found")
         if found.isEmpty():
             continue
         merged = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         renamed = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         labels = keep(labels.join(renamed, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).union(merged.join(labels, "node", "left_anti").select("node", "comp")), "labels")
-        prefix = keep(prefix.join(renamed, "comp", "left").select("doc", "n", "at", "ngram", F.coalesce("to", "comp").alias("comp")), "prefix")
+        prefix = keep(prefix.join(renamed, "comp", "left").select(*carried, F.coalesce("to", "comp").alias("comp")), "prefix")
     out = records.join(labels.select(F.col("node").alias("same"), "comp"), "same", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "same").alias("component_id"))
 
