@@ -49,7 +49,7 @@ COUNT_FRAGMENTS = 8
 PARITY_WORDS = 8
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
 _U = np.uint64
-_RECORD = "kind int, doc long, same long, root long, n int, h1 long, h2 long"
+_RECORD = "kind int, doc long, same long, root long, n int, h1 long, h2 long, bucket int, data binary"
 _DEALT = "bucket int, kind int, n int, base long, data binary"
 
 
@@ -242,33 +242,53 @@ def _windows(width: int, threshold: int, buckets: int):
     return run
 
 
-def _suspects(batches):
-    """Records pass; of keys, the groups that share one with another group."""
-    turn_to("ngrams")
-    keys, holders, names = [], [], ["kind", "doc", "same", "root", "n", "h1", "h2"]
-    for batch in batches:
-        for kind, data in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            if kind == 1:
-                k, h = unplanes(data, 2)
-                keys.append(k)
-                holders.append(h)
-            elif kind == 0:
-                doc, same, root, n, h1, h2 = unplanes(data, 6)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(doc), np.int32)), *(pa.array(c.view(np.int64)) for c in (doc, same, root)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=names)
-            else:
-                (n,) = unplanes(data, 1)
-                none = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), 2, np.int32)), none, none, none, pa.array(n.astype(np.int32)), none, none], names=names)
-    if keys:
-        k, h = np.concatenate(keys), np.concatenate(holders)
-        by = np.lexsort((h, k))
-        k, h = k[by], h[by]
-        starts = np.flatnonzero(np.append(True, np.diff(k) != 0))
-        ends = np.append(starts[1:], len(k)) - 1
-        several = h[starts] != h[ends]
-        found = np.unique(h[np.repeat(several, np.diff(np.append(starts, len(k))))]).view(np.int64)
-        none = pa.nulls(len(found), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), none, none, pa.nulls(len(found), pa.int32()), none, none], names=names)
+def _record(kind: int, count: int, **columns) -> pa.RecordBatch:
+    """Rows of _RECORD; columns that aren't given are null."""
+    types = {"doc": pa.int64(), "same": pa.int64(), "root": pa.int64(), "n": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "bucket": pa.int32(), "data": pa.binary()}
+    own = [columns[name] if name in columns else pa.nulls(count, t) for name, t in types.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(count, kind, np.int32)), *own], names=["kind", *types])
+
+
+def _suspects(buckets: int):
+    """Records pass; of keys, the groups that share one with another group, packed and dealt out by group: a group is found once for each of its keys."""
+
+    def run(batches):
+        turn_to("ngrams")
+        keys, holders = [], []
+        for batch in batches:
+            for kind, data in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if kind == 1:
+                    k, h = unplanes(data, 2)
+                    keys.append(k)
+                    holders.append(h)
+                elif kind == 0:
+                    doc, same, root, n, h1, h2 = (c.view(np.int64) for c in unplanes(data, 6))
+                    yield _record(0, len(doc), doc=pa.array(doc), same=pa.array(same), root=pa.array(root), n=pa.array(n.astype(np.int32)), h1=pa.array(h1), h2=pa.array(h2))
+                else:
+                    (n,) = unplanes(data, 1)
+                    yield _record(2, len(n), n=pa.array(n.astype(np.int32)))
+        if keys:
+            k, h = np.concatenate(keys), np.concatenate(holders)
+            by = np.lexsort((h, k))
+            k, h = k[by], h[by]
+            starts = np.flatnonzero(np.append(True, np.diff(k) != 0))
+            ends = np.append(starts[1:], len(k)) - 1
+            several = h[starts] != h[ends]
+            found = np.unique(h[np.repeat(several, np.diff(np.append(starts, len(k))))])
+            to = _bucket(mixed(found), buckets)
+            by = np.argsort(to, kind="stable")
+            if len(by):
+                packed = _packed(to[by], 1, [found[by]])
+                yield _record(1, packed.num_rows, bucket=packed.column(0), data=packed.column(4))
+
+    return run
+
+
+def _once(batches):
+    """Each suspected group once."""
+    found = [unplanes(data, 1)[0] for batch in batches for data in batch.column(1).to_pylist()]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], names=["root"])
 
 
 def _dealt_sets(width: int, buckets: int):
@@ -375,12 +395,12 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(partitions(spark), 4 * texts.rdd.getNumPartitions())
     first = texts.mapInArrow(_windows(width, threshold, buckets), _DEALT).repartition(buckets, "bucket")
-    first = keep(first.mapInArrow(_suspects, _RECORD), "windows")
-    records = first.where("kind <> 1")
+    first = keep(first.mapInArrow(_suspects(buckets), _RECORD), "windows")
+    records = first.where("kind <> 1").drop("bucket", "data")
     # distinct sets: window by window, then over all
     reps = records.where("doc = same and n > 0")
     leads = reps.groupBy("n", "h1", "h2").agg(F.min("doc").alias("lead"))
-    suspects = first.where("kind = 1").select(F.col("doc").alias("root")).distinct()
+    suspects = first.where("kind = 1").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(_once, "root long")
     known = keep(reps.join(leads, ["n", "h1", "h2"]).join(suspects.withColumn("suspect", F.lit(True)), "root", "left").select("doc", "root", "lead", "n", "h1", F.coalesce("suspect", F.lit(False)).alias("suspect")), "reps")
     links = known.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(known.where("doc <> lead").select("doc", "lead"))
     labels = components(links)
