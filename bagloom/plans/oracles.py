@@ -68,7 +68,7 @@ ALL = {
     "instance_distance": f"WITH {_EMBEDDED} SELECT a, b, round(min(d), 6) AS least, round(max(d), 6) AS most FROM p GROUP BY a, b",
     "directed_hausdorff": f"WITH {_NATION} SELECT a, b, round(max(m), 6) AS dist FROM (SELECT x.pos a, y.pos b, x.r, min(abs(x.x - y.x)) m FROM n x JOIN n y ON x.pos <> y.pos GROUP BY 1, 2, 3) GROUP BY a, b",
     "hausdorff_pairs": f"WITH {_EMBEDDED} SELECT a, b, round(greatest(max(u), max(v)), 6) AS dist FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b",
-    "customer_eps_neighbours": "WITH i AS MATERIALIZED (SELECT o_custkey AS pos, row_number() OVER () AS r, o_totalprice/100000 AS x FROM orders JOIN customer ON c_custkey = o_custkey), b AS MATERIALIZED (SELECT pos, min(x) AS l, max(x) AS h FROM i GROUP BY pos), p AS MATERIALIZED (SELECT x.pos a, y.pos b, i.r ar, j.r br, abs(i.x - j.x) d FROM b x JOIN b y ON x.pos < y.pos AND abs(x.l - y.l) <= 0.2004 AND abs(x.h - y.h) <= 0.2004 JOIN i ON i.pos = x.pos JOIN i j ON j.pos = y.pos) SELECT a, b, round(greatest(max(u), max(v)), 6) AS dist FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b HAVING greatest(max(u), max(v)) <= 0.2003",
+    "customer_eps_neighbours": "WITH i AS MATERIALIZED (SELECT o_custkey AS pos, row_number() OVER () AS r, o_totalprice/100000 AS x FROM orders JOIN customer ON c_custkey = o_custkey), b AS MATERIALIZED (SELECT pos, min(x) AS l, max(x) AS h FROM i GROUP BY pos), p AS MATERIALIZED (SELECT x.pos a, y.pos b, i.r ar, j.r br, abs(i.x - j.x) d FROM b x JOIN b y ON x.pos < y.pos AND abs(x.l - y.l) <= 0.2004 AND abs(x.h - y.h) <= 0.2004 JOIN i ON i.pos = x.pos JOIN i j ON j.pos = y.pos) SELECT a, b, round(greatest(max(u), max(v)), 8) AS dist FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b HAVING greatest(max(u), max(v)) <= 0.2003",
     "order_eps_neighbours": f"WITH {_E} SELECT a, b, round(dist, 6) AS dist FROM e",
     "neighbour_count": f"{_FIT} SELECT pos, neighbours FROM k",
     "core_bags": f"{_FIT} SELECT pos FROM f WHERE is_core",

@@ -136,7 +136,7 @@ def hausdorff_pairs(spark, d):
 
 def customer_eps_neighbours(spark, d):
     """Similar purchase histories: customers as one-dimensional bags."""
-    return epsjoin.links(adapters.customer_bags(spark, d), 0.2003, 1).select("a", "b", rounded("dist"))
+    return epsjoin.links(adapters.customer_bags(spark, d), 0.2003, 1).select("a", "b", rounded("dist", 8))
 
 
 def order_eps_neighbours(spark, d):
