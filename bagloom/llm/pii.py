@@ -5,7 +5,9 @@ values get equal pseudonyms in all documents, and different values of a format d
 
 - card numbers (13 to 19 digits, also in the usual groups) that pass the Luhn check: all digits but the last are
   permuted and the check digit is made anew; separators stay;
-- phone numbers in international form (8 to 15 digits): the digits after the country code;
+- phone numbers in international form (8 to 15 digits): the digits after the country code. A number after a phone
+  stays its own where the country's numbers have one length (PLANS); elsewhere groups of 2 to 4 digits that begin no
+  other value count as the phone's up to 15 digits, as nothing tells them apart;
 - IPv4 addresses whose parts are 0 to 255: as one 32-bit number;
 - calendar dates (YYYY-MM-DD, 1700 to 2099): as the number of a day of these 400 years;
 - e-mail addresses: letters and digits of the local part, each within its kind; the domain stays;
@@ -31,11 +33,20 @@ from .common import table
 KEY, ROUNDS = "bagloom", 8
 #: The patterns of what is looked for, in order of preference at one place.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
-PHONE = r"\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\d)"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 SECRET = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
+#: Digits after the country code, for codes whose numbers have one length.
+PLANS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|420|421", 10: "1|7|30|44|52|57|91"}
+_DIGIT = r"[ ()-]{0,2}\d"  # written out n times: Java bounds no lookbehind over a repeated group
+_COMPLETE = "(?<=" + "|".join(rf"\+(?:{codes}){_DIGIT * n}" for n, codes in PLANS.items()) + ")"
+_VALID = rf"(?<=\+{_DIGIT * 8}{f'(?:{_DIGIT})?' * 7})"
+_GROUPS = r"\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:%s[ -]?\d{2,4}){2,3}(?!\d)"
+_OTHERS = (EMAIL, ADDRESS, DATE, SECRET)
+#: A phone ends where its country's number is complete; or else where another value follows; or else after all groups, up to
+#: 15 digits. The last doesn't ask for cards: four groups of four digits may be the phone's own with numbers after it.
+PHONE = f"{_GROUPS % ''}{_COMPLETE}|{_GROUPS % ''}{_VALID}(?=[ -](?:{'|'.join((*_OTHERS, CARD))}))|{_GROUPS % f'(?![ -](?:{"|".join(_OTHERS)}))'}{_VALID}"
 PATTERN = "|".join((EMAIL, PHONE, ADDRESS, DATE, SECRET, CARD))
 #: Days from 1700-01-01 to 2099-12-31, as two factors.
 DAYS = (189, 773)

@@ -359,6 +359,21 @@ def test_pii(spark):
     assert pii.pseudonymised(docs_of(spark, [])).count() == 0
 
 
+def test_values_after_a_phone(spark):
+    """What follows a phone stays its own value, and the phone gets the pseudonym that it has alone."""
+    alone = {"+1 (826) 555-4081": 2, "+44 20 7946 0958": 3, "+49 30 1234567": 3, "+49 30 1234": 3, "+386 1234 5678 9012": 4}
+    values = ["190.137.223.204", "10.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "2023-02-28", "42ab@mail7.example.com", "12ab" * 10]
+    plain = ["42", "2024", "1.5"]
+    odd = ["+1 23 45 67 89", "+1 (826) 555-408190", "+49 1234567890123"]
+    pairs = [(p, sep, v) for p in alone for sep in " -" for v in values if sep == " " or v[4] != "-" and "@" not in v] + [(p, " ", v) for p in alone for v in plain if p[:3] != "+49"]
+    texts = [*alone, *values, *odd, *(p + sep + v for p, sep, v in pairs)]
+    rows = pii.pseudonymised(docs_of(spark, texts)).orderBy("doc_id").collect()
+    new = dict(zip(texts, (r.text for r in rows), strict=True))
+    assert all(new[p] != p and new[p][:n] == p[:n] for p, n in alone.items()) and all(new[v] != v for v in values)
+    assert [new[p + sep + v] for p, sep, v in pairs] == [new[p] + sep + new.get(v, v) for p, sep, v in pairs]
+    assert all(new[v] != v and len(new[v]) == len(v) for v in odd)
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = [f"2001-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
     hosts = [f"10.1.{i}.{j}" for i in range(20) for j in range(20)]
