@@ -11,7 +11,8 @@ values get equal pseudonyms in all documents, and different values of a format d
 - IPv4 addresses whose parts are 0 to 255: as one 32-bit number;
 - calendar dates (YYYY-MM-DD, 1700 to 2099): as the number of a day of these 400 years;
 - e-mail addresses: letters and digits of the local part, each within its kind; the domain stays;
-- secrets of 32 to 64 hexadecimal digits, within these digits.
+- secrets of 32 to 64 hexadecimal digits, within these digits; in upper case as in lower case, and raised again, so both
+  spellings stay linked; in mixed case, digits and the letters of each case within their kind.
 
 The two halves of a value take turns in being shifted, place by place, by digits of SHA-256 over key, kind,
 round and other half. Numbers that fail their check (other long numbers, versions such as 1.2.3.400) stay.
@@ -35,7 +36,7 @@ KEY, ROUNDS = "bagloom", 8
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
-SECRET = r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 #: Digits after the country code, for codes whose numbers have one length.
 PLANS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|420|421", 10: "1|7|30|44|52|57|91"}
@@ -174,6 +175,12 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(let(F.substring(value, F.lit(1), at - 1), lambda v: permuted(v, "email", key, (DIGITS, LOWER, UPPER))), F.substring(value, at, F.length(value)))
 
 
+def _secret(value: Column, key: str) -> Column:
+    plain = let(F.lower(value), lambda v: permuted(v, "secret", key, (HEXADECIMAL,)))
+    mixed = permuted(value, "secret", key, (DIGITS, HEXADECIMAL[10:], HEXADECIMAL[10:].upper()))
+    return F.when(value == F.lower(value), plain).when(value == F.upper(value), F.upper(plain)).otherwise(mixed)
+
+
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """Of a match of PATTERN: its pseudonym, or itself if it isn't valid."""
     return (
@@ -181,7 +188,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
         .when(value.startswith("+"), _phone(value, key))
         .when(F.instr(value, ".") > 0, _address(value, key))
         .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), _date(value, key))
-        .when((F.length(value) >= 32) & ~value.contains(" ") & ~value.contains("-"), permuted(value, "secret", key, (HEXADECIMAL,)))
+        .when((F.length(value) >= 32) & ~value.contains(" ") & ~value.contains("-"), _secret(value, key))
         .otherwise(_card(value, key))
     )
 

@@ -374,6 +374,16 @@ def test_values_after_a_phone(spark):
     assert all(new[v] != v and len(new[v]) == len(v) for v in odd)
 
 
+def test_secrets_in_either_case(spark):
+    lower = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(20)]
+    mixed = [v[:20] + v[20:].upper() for v in lower]
+    texts = [f'TOKEN = "{v}"' for v in (*lower, *(v.upper() for v in lower), *mixed)]
+    out = [r.text[9:-1] for r in pii.pseudonymised(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert out[:20] == [feistel(v, "secret", (pii.HEXADECIMAL,)) for v in lower]
+    assert out[20:40] == [v.upper() for v in out[:20]]
+    assert out[40:] == [feistel(v, "secret", (pii.DIGITS, "abcdef", "ABCDEF")) for v in mixed] and len(set(out)) == 60
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = [f"2001-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
     hosts = [f"10.1.{i}.{j}" for i in range(20) for j in range(20)]
