@@ -5,7 +5,8 @@ grade of at most k is logistic(threshold_k - score). The expected grade is the s
 
 `labels` tells toxic from clean only, so the grades above 0 are made from it: words that toxic labels favour
 strongly form a lexicon, and labelled toxic texts are graded by terciles of the lexicon's part of their words.
-Features are hashed words, weighted log(1 + count); those kept have some support and differ between the labels.
+Features are hashed words, weighted log(1 + count), where texts of over 100 words have their counts per 100 words, so
+one bound serves all lengths; those kept have some support and differ between the labels.
 
 The model is fitted on the driver from a bounded sample of labelled rows (at most `sample`, the least of a hash
 of the id in each class, weighted back to the classes' shares). All documents are scored, whole texts. The
@@ -33,6 +34,8 @@ from .common import as_bytes, cached, small, table, turn_to
 from .decontaminate import words_of
 
 SAMPLE, BUCKETS, FEATURES, GRADES = 12_000, 1 << 20, 20_000, 4
+#: Words from which counts become shares, so that a text's length alone doesn't raise its score.
+LONG = 100
 _words: dict[bytes, int] = cached("toxicity", {})
 
 
@@ -47,6 +50,11 @@ def buckets_of(words) -> list[int]:
     return [_words[w] for w in words]
 
 
+def weighted(count, length):
+    """The values of words in a text of so many words."""
+    return np.log1p(count * (LONG / np.maximum(length, LONG)))
+
+
 @dataclass
 class Model:
     """Weights of the buckets that count, the thresholds, and the chance of toxicity from which texts are rejected."""
@@ -59,7 +67,8 @@ class Model:
         counted = Counter(words_of(raw))
         weights = self.weights
         found = [(weights[b], n) for b, n in zip(buckets_of(counted), counted.values(), strict=True) if b in weights]
-        return float(sum(w * np.log1p(n) for w, n in found))
+        w, n = np.array(found, float).reshape(-1, 2).T
+        return float((w * weighted(n, counted.total())).sum())
 
     def chances(self, scores: np.ndarray) -> np.ndarray:
         """The chance of more than each grade but the last."""
@@ -146,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     column = np.full(BUCKETS, -1)
     column[kept] = np.arange(len(kept))
     use = column[bucket] >= 0
-    triples = row[use], column[bucket[use]], np.log1p(count[use])
+    length = np.bincount(row, count, minlength=len(rows))
+    triples = row[use], column[bucket[use]], weighted(count[use], length[row[use]])
 
     def fitted(at: np.ndarray) -> Model:
         mine = at[triples[0]]

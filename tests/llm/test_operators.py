@@ -322,6 +322,21 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    """Words that toxic texts have five times as often do not reject a clean text for its length."""
+
+    def made(i, n, bad):
+        r = random.Random(1000 + i)
+        return " ".join(r.choice(["harsh", "crude"]) if r.random() < (0.1 if bad else 0.02) else w for w in words(n, i))
+
+    rows = [made(i, 60 + i % 5 * 20, i % 4 == 0) for i in range(400)]
+    long = [made(1000 + i, 4000, bad) for bad in (False, True) for i in range(20)]
+    model = toxicity.fit(docs_of(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    rejected = [x.rejected for x in toxicity.score(docs_of(spark, long), model).orderBy("doc_id").collect()]
+    assert sum(rejected[:20]) <= 1 and sum(rejected[20:]) >= 19
+    assert model.score(rows[4].encode()) == pytest.approx(model.score(f"{rows[4]} ".encode() * 30))
+
+
 # --- PII
 
 
