@@ -23,7 +23,8 @@ documents link if their sets' Jaccard similarity reaches the threshold. The join
 5. Verification. For each pair, the overlap is counted fragment by fragment, and summed.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a null id
-has no group; rows that repeat an id are one document that has all their links; an empty table gives no rows.
+has no group; rows that repeat an id are one document that has all their links, each row by its own set; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -292,7 +293,7 @@ def _once(batches):
 
 
 def _dealt_sets(width: int, buckets: int):
-    """Suspects' sets dealt out by n-gram: (n-gram, document, size of its set)."""
+    """Suspects' sets dealt out by n-gram: (n-gram, document or key of its set, size of its set)."""
 
     def flush(part):
         values = np.concatenate([s for _, s in part])
@@ -397,15 +398,21 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     first = texts.mapInArrow(_windows(width, threshold, buckets), _DEALT).repartition(buckets, "bucket")
     first = keep(first.mapInArrow(_suspects(buckets), _RECORD), "windows")
     records = first.where("kind <> 1").drop("bucket", "data")
+    # ids whose rows have different sets; their sets go by a key of their own below
+    several = keep(records.where("doc is not null").groupBy("doc").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("doc"), "several")
     # distinct sets: window by window, then over all
     reps = records.where("doc = same and n > 0")
     leads = reps.groupBy("n", "h1", "h2").agg(F.min("doc").alias("lead"))
     suspects = first.where("kind = 1").select("bucket", "data").repartition(buckets, "bucket").mapInArrow(_once, "root long")
     known = keep(reps.join(leads, ["n", "h1", "h2"]).join(suspects.withColumn("suspect", F.lit(True)), "root", "left").select("doc", "root", "lead", "n", "h1", F.coalesce("suspect", F.lit(False)).alias("suspect")), "reps")
     links = known.where("doc <> root").select(F.col("doc").alias("a"), F.col("root").alias("b")).union(known.where("doc <> lead").select("doc", "lead"))
+    links = links.union(records.where("doc <> same").join(several, "doc").select("doc", "same"))
     labels = components(links)
-    chosen = known.where("suspect").select(F.col("lead").alias("doc_id"), "n", "h1").distinct()
-    dealt = texts.join(chosen, "doc_id").select("doc_id", "text", "n", "h1").mapInArrow(_dealt_sets(width, buckets), _DEALT).repartition(buckets, "bucket")
+    own = several.select(F.col("doc").alias("lead"), F.lit(True).alias("own"))
+    chosen = known.where("suspect").select("lead", "n", "h1").distinct().join(own, "lead", "left")
+    chosen = chosen.select(F.col("lead").alias("doc_id"), F.when(F.col("own"), F.xxhash64("lead", "n", "h1")).otherwise(F.col("lead")).alias("set"), "n", "h1")
+    leads_of = chosen.where("set <> doc_id").select(F.col("set").alias("doc"), F.col("doc_id").alias("lead"))
+    dealt = texts.join(chosen, "doc_id").select("set", "text", "n", "h1").mapInArrow(_dealt_sets(width, buckets), _DEALT).repartition(buckets, "bucket")
     by_doc = dealt.mapInArrow(_counted(buckets), _DEALT).repartition(buckets, "bucket")
     ordered = keep(by_doc.mapInArrow(_ordered, "doc long, n long, own long, fragments array<array<long>>, " + ", ".join(f"{p} long" for p in _PARITY)), "ordered")
     # positions count from the n-grams that nobody shares: they come first in the order
@@ -414,7 +421,8 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     carried = ["doc", "n", "own", *_PARITY]
     prefix = ordered.select(*carried, F.posexplode(few).alias("i", "ngram")).select(*carried, (F.col("own") + F.col("i")).alias("at"), "ngram")
     carried += ["at", "ngram"]
-    prefix = keep(prefix.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(*carried, F.coalesce("comp", "doc").alias("comp")), "prefix")
+    prefix = prefix.join(keep(leads_of, "leads"), "doc", "left").withColumn("node", F.coalesce("lead", "doc"))
+    prefix = keep(prefix.join(labels, "node", "left").select(*carried, F.coalesce("comp", "node").alias("comp")), "prefix")
     for turn in range(PIVOT_ROUNDS + 1):
         mixed_up = prefix.groupBy("ngram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct(*[c for c in carried if c != "ngram"], "comp"), F.xxhash64("doc", F.lit(turn))).alias("pivot")).where("low < high")
         if turn < PIVOT_ROUNDS:

@@ -117,6 +117,17 @@ def test_ngram_join_odd_tables(spark):
     assert sorted((r.doc_id for r in ngramjoin.representatives(odd, 3, 90).collect()), key=repr) == [3, None]
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_ngram_join_of_an_id_with_several_texts(spark, parts):
+    """Each row of an id links by its own set, and the id has the links of all."""
+    a, b, c, d, e = (words(n, 900 + i, 5000) for i, n in enumerate((120, 400, 120, 120, 120)))
+    near = lambda w: " ".join([*w[:60], "edited", *w[61:]])
+    rows = [(10, " ".join(a)), (10, " ".join(b)), (20, near(a)), (30, near(b)), (40, " ".join(c)), (50, " ".join(c)), (50, " ".join(d)), (60, near(d)), (70, ""), (70, " ".join(e)), (65, " ".join(e)), (80, " ".join(a[:60] + b[:60]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "text")
+    found = {(r.doc_id, r.component_id) for r in ngramjoin.groups(table, 3, 90).collect()}
+    assert found == {(10, 10), (20, 10), (30, 10), (40, 40), (50, 40), (60, 40), (70, 65), (65, 65), (80, 80)}
+
+
 # --- tokens and packing
 
 
