@@ -450,9 +450,20 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
 
 
 def representatives(docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """The rows, with all their columns, whose document has the least id of its group. Rows without an id or without words stay."""
-    gone = groups(docs, width, threshold).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, with all their columns, whose document has the least id of its group. Of rows of such an id with equal texts one
+    stays, the least as JSON; rows with other texts stay too. Rows without an id or without words all stay."""
+    found = groups(docs, width, threshold)
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = keep(found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if several.isEmpty():
+        return left
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    repeated = left.where(worded).join(several.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = repeated.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    rest = left.join(several, "doc_id", "left_anti").union(left.where(~F.coalesce(worded, F.lit(False))).join(several, "doc_id", "left_semi"))
+    return rest.select(*docs.columns).union(once.select(*docs.columns))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,13 @@ def test_ngram_join_of_an_id_with_several_texts(spark, parts):
     assert found == {(10, 10), (20, 10), (30, 10), (40, 40), (50, 40), (60, 40), (70, 65), (65, 65), (80, 80)}
 
 
+def test_representatives_stay_once(spark):
+    rows = [(3, "a b c d", "x"), (3, "a b c d", "x"), (3, "a b c d", "w"), (3, "e f g h", "x"), (7, "A b c d", "x"), (9, " ", "x"), (9, " ", "x"), (3, "", "x"), (3, "", "x"), (None, "a b c d", "x"), (None, "a b c d", "x")]
+    kept = ngramjoin.representatives(spark.createDataFrame(rows, "doc_id long, text string, n string"), 3, 90)
+    assert kept.columns == ["doc_id", "text", "n"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[2], *rows[3:4], *rows[5:]], key=repr)
+
+
 # --- tokens and packing
 
 
