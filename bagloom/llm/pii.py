@@ -5,12 +5,14 @@ values get equal pseudonyms in all documents, and different values of a format d
 
 - card numbers (13 to 19 digits, also in the usual groups) that pass the Luhn check: all digits but the last are
   permuted and the check digit is made anew; separators stay;
-- phone numbers in international form (8 to 15 digits): the digits after the country code. A number after a phone
-  stays its own where the country's numbers have one length (PLANS); elsewhere groups of 2 to 4 digits that begin no
-  other value count as the phone's up to 15 digits, as nothing tells them apart;
+- phone numbers in international form (8 to 15 digits): the digits after the country code, as one number, so that a
+  number has one pseudonym however it is grouped. A number after a phone stays its own where the country's numbers have
+  one length (PLANS); elsewhere groups of 2 to 4 digits that begin no other value count as the phone's up to 15 digits,
+  as nothing tells them apart;
 - IPv4 addresses whose parts are 0 to 255: as one 32-bit number;
 - calendar dates (YYYY-MM-DD, 1700 to 2099): as the number of a day of these 400 years;
-- e-mail addresses: letters and digits of the local part, each within its kind; the domain stays;
+- e-mail addresses with a local part of at most 64 characters (longer ones are none): letters and digits of the local
+  part, each within its kind, letters beyond ASCII within their run of neighbouring letters; the domain stays;
 - secrets of 32 to 64 hexadecimal digits, within these digits; in upper case as in lower case, and raised again, so both
   spellings stay linked; in mixed case, digits and the letters of each case within their kind.
 
@@ -19,12 +21,17 @@ round and other half. Numbers that fail their check (other long numbers, version
 The caller should give a key of its own and keep it secret; whoever has it can undo the pseudonyms.
 
 Defined results: a null text stays null, with no values; an empty text stays empty; all else of a text, and all
-other columns, stay as they are; repeated rows are treated alike; an empty table gives no rows.
+other columns, whatever their names, stay as they are; repeated rows are treated alike; an empty table gives no rows.
+Repeated groups in the patterns are possessive: Java's matcher recurses into others, and a long text would end the JVM.
 """
 
 from __future__ import annotations
 
+import json
+import unicodedata
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,13 +40,17 @@ from .common import table
 
 KEY, ROUNDS = "bagloom", 8
 #: The patterns of what is looked for, in order of preference at one place.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
+_LOCAL, _LABEL = r"[\p{L}\p{N}._%+-]", "[A-Za-z0-9-]"
+_TO_TOP = rf"(?:\.(?![A-Za-z]{{2}}){_LABEL}++)*+\.[A-Za-z]{{2,}}+"  # labels up to one that begins with two letters
+EMAIL = rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+@{_LABEL}++{_TO_TOP}(?:{_LABEL}*+{_TO_TOP})*+"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 SECRET = r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 #: Digits after the country code, for codes whose numbers have one length.
 PLANS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|420|421", 10: "1|7|30|44|52|57|91"}
+#: Country codes of one and two digits; all others have three.
+CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
 _DIGIT = r"[ ()-]{0,2}\d"  # written out n times: Java bounds no lookbehind over a repeated group
 _COMPLETE = "(?<=" + "|".join(rf"\+(?:{codes}){_DIGIT * n}" for n, codes in PLANS.items()) + ")"
 _VALID = rf"(?<=\+{_DIGIT * 8}{f'(?:{_DIGIT})?' * 7})"
@@ -67,8 +78,40 @@ def _number(noise: Column, at: Column, digits: int) -> Column:
     return F.conv(F.substring(noise, at, F.lit(digits)), 16, 10).cast("long")
 
 
-def _shifted(half: Column, noise: Column, alphabets: tuple[str, ...]) -> Column:
-    """Each character moved within its alphabet by the noise of its place; others stay."""
+@lru_cache
+def letter_runs() -> tuple[list[int], list[int]]:
+    """First code points and lengths of the runs of neighbouring letters and numbers from U+0080 to U+FFFF; Latin ones are cut every 64."""
+    starts, lengths = [], []
+    for c in range(0x80, 0x10000):
+        if unicodedata.category(chr(c))[0] in "LN":
+            if starts and starts[-1] + lengths[-1] == c and (c >= 0x250 or c % 64):
+                lengths[-1] += 1
+            else:
+                starts.append(c)
+                lengths.append(1)
+    return starts, lengths
+
+
+def _literal(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<int>")
+
+
+def _moved_in_run(c: Column, step: Column) -> Column:
+    """A letter beyond ASCII, moved within its run; what is in no run stays."""
+    starts, lengths = (_literal(v) for v in letter_runs())
+    code = F.ascii(c)
+
+    def within(i: Column) -> Column:
+        start, length = F.get(starts, i), F.get(lengths, i)
+        to = start + (code - start + step) % length
+        return F.when(code < start + length, F.decode(F.unhex(F.lpad(F.hex(to.cast("long")), 4, "0")), "UTF-16BE")).otherwise(c)
+
+    last = F.size(F.filter(starts, lambda x: x <= code)) - 1
+    return F.when((code >= 0x80) & (code < 0x10000), let(last, within)).otherwise(c)
+
+
+def _shifted(half: Column, noise: Column, alphabets: tuple[str, ...], others: bool = False) -> Column:
+    """Each character moved within its alphabet by the noise of its place; of others, letters only if `others` says so."""
 
     def one(i: Column) -> Column:
         def moved(c: Column) -> Column:
@@ -77,20 +120,20 @@ def _shifted(half: Column, noise: Column, alphabets: tuple[str, ...]) -> Column:
             for a in alphabets:
                 to = F.substring(F.lit(a), ((F.instr(F.lit(a), c) - 1 + step) % len(a) + 1).cast("int"), F.lit(1))
                 out = F.when(F.instr(F.lit(a), c) > 0, to) if out is None else out.when(F.instr(F.lit(a), c) > 0, to)
-            return out.otherwise(c)
+            return out.otherwise(_moved_in_run(c, step) if others else c)
 
         return let(F.substring(half, i + 1, F.lit(1)), moved)
 
     return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.length(half) - 1), one), ""))
 
 
-def permuted(value: Column, kind: str, key: str, alphabets: tuple[str, ...]) -> Column:
+def permuted(value: Column, kind: str, key: str, alphabets: tuple[str, ...], others: bool = False) -> Column:
     """A Feistel network over the halves of a string. value must be a bound variable or a column."""
     middle = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), middle).alias("l"), F.substring(value, middle + 1, F.length(value)).alias("r"))
 
     def turned(s: Column, i: Column) -> Column:
-        return let(_noise(key, kind, i, s["r"]), lambda noise: F.struct(s["r"].alias("l"), _shifted(s["l"], noise, alphabets).alias("r")))
+        return let(_noise(key, kind, i, s["r"]), lambda noise: F.struct(s["r"].alias("l"), _shifted(s["l"], noise, alphabets, others).alias("r")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turned, lambda s: F.concat(s["l"], s["r"]))
 
@@ -141,13 +184,12 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    head = F.regexp_extract(value, r"^\+\d{1,3}(?=[ -(])[ -]?|^\+\d", 0)
-
-    def made(h: Column) -> Column:
-        rest = F.substring(value, F.length(h) + 1, F.length(value))
-        return let(rest, lambda r: F.concat(h, let(let(_digits(r), lambda d: permuted(d, "phone", key, (DIGITS,))), lambda p: in_layout(r, p))))
+    def made(d: Column) -> Column:
+        code = F.length(F.regexp_extract(d, rf"^(?:{CODES}|\d{{3}})", 0))
+        own = let(F.substring(d, code + 1, F.length(d)), lambda own: permuted(own, "phone", key, (DIGITS,)))
+        return F.when(F.length(d).between(8, 15), in_layout(value, F.concat(F.substring(d, F.lit(1), code), own))).otherwise(value)
 
-    return F.when(F.length(_digits(value)).between(8, 15), let(head, made)).otherwise(value)
+    return let(_digits(value), made)
 
 
 def _address(value: Column, key: str) -> Column:
@@ -172,7 +214,7 @@ def _date(value: Column, key: str) -> Column:
 
 def _email(value: Column, key: str) -> Column:
     at = F.instr(value, "@")
-    return F.concat(let(F.substring(value, F.lit(1), at - 1), lambda v: permuted(v, "email", key, (DIGITS, LOWER, UPPER))), F.substring(value, at, F.length(value)))
+    return F.concat(let(F.substring(value, F.lit(1), at - 1), lambda v: permuted(v, "email", key, (DIGITS, LOWER, UPPER), others=True)), F.substring(value, at, F.length(value)))
 
 
 def _secret(value: Column, key: str) -> Column:
@@ -193,16 +235,22 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """The rows with valid values in `text` replaced; `_found` and `_new` are the values' arrays before and after."""
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    marked = marked.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN), F.col("_new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    return marked.withColumn(text, F.when(F.size("_found") == 0, F.col(text)).otherwise(joined))
+def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", values: tuple[str, str] | None = None) -> DataFrame:
+    """The rows with valid values in `text` replaced. `values` names two columns to add: the values found, and what stands for each."""
+    if values and set(values) & set(docs.columns):
+        raise ValueError(f"the table has a column of {values} already")
+    before, after = values or (f"_found_{uuid.uuid4().hex}", f"_new_{uuid.uuid4().hex}")
+    none = F.array().cast("array<string>")
+    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
+    marked = docs.withColumn(before, F.coalesce(found, none))
+    marked = marked.withColumn(after, F.transform(before, lambda v: pseudonym(v, key)))
+    joined = F.array_join(F.zip_with(F.split(F.col(text), PATTERN), F.col(after), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    out = marked.withColumn(text, F.when(F.size(before) == 0, F.col(text)).otherwise(joined))
+    return out if values else out.select(*docs.columns)
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    changed = F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)
-    return pseudonymised(docs).select("doc_id", "text", F.size("_found").cast("long").alias("n_found"), F.size(changed).cast("long").alias("n_replaced"))
+    changed = F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x)
+    out = pseudonymised(docs, values=("found", "new"))
+    return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.size(changed).cast("long").alias("n_replaced"))

@@ -417,6 +417,46 @@ def test_secrets_in_either_case(spark):
     assert out[40:] == [feistel(v, "secret", (pii.DIGITS, "abcdef", "ABCDEF")) for v in mixed] and len(set(out)) == 60
 
 
+def test_a_phone_has_one_pseudonym_in_all_layouts(spark):
+    layouts = [["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"], ["+1 (826) 555-4081", "+18265554081", "+1 826 555 4081"], ["+386 1234 5678", "+38612345678"]]
+    texts = [t for group in layouts for t in group]
+    out = iter([r.text for r in pii.pseudonymised(docs_of(spark, texts)).orderBy("doc_id").collect()])
+    for group in layouts:
+        new = [next(out) for _ in group]
+        code = len(group[0].replace("(", " ").split()[0])
+        assert len({"".join(c for c in v if c.isdigit()) for v in new}) == 1 and new[0] != group[0]
+        assert all(v[:code] == t[:code] and [c.isdigit() for c in v] == [c.isdigit() for c in t] for v, t in zip(new, group))
+
+
+def test_letters_beyond_ascii_are_permuted(spark):
+    locals_ = ["ü", "müller.漢字", "Иван.1", "ß" * 30, "αβγ"]
+    out = [r.text for r in pii.pseudonymised(docs_of(spark, [f"to {v}@x.com!" for v in locals_])).orderBy("doc_id").collect()]
+    for v, text in zip(locals_, out):
+        new = text.removeprefix("to ").removesuffix("@x.com!")
+        assert new != v and len(new) == len(v) and [c.isalpha() for c in new] == [c.isalpha() for c in v]
+    single = [chr(c) for c in range(0x430, 0x450)]
+    new = [r.text for r in pii.pseudonymised(docs_of(spark, [f"{c}@x.com" for c in single])).collect()]
+    assert len(set(new)) == len(single)
+
+
+def test_long_texts_and_odd_addresses(spark):
+    long = ["a@" + "b." * 100_000 + "com", "x" * 65 + "@b.com", "1" * 300_000, "@" * 100_000, "+1 " * 100_000, "1.2.3." * 50_000, ("word 10.1.2.3 " * 20_000)]
+    odd = ["a@b..com", "u@10.1.2.3", "a@b.com-x", "a@b.com.", "q@a.b.co.uk"]
+    out = [r.text for r in pii.pseudonymised(docs_of(spark, long + odd)).orderBy("doc_id").collect()]
+    assert out[0] != long[0] and out[0][1:] == long[0][1:] and out[1:6] == long[1:6]
+    assert len(set(out[6].split()[1::2])) == 1 and "10.1.2.3" not in out[6]
+    assert out[7] == odd[0] and out[8][:2] == "u@" and "10.1.2.3" not in out[8]
+    assert [t[1:] for t in out[9:]] == [t[1:] for t in odd[2:]] and all(a[0] != b[0] for a, b in zip(out[9:], odd[2:]))
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "u@x.com", "f", "n")], "doc_id long, text string, _found string, _new string")
+    out = pii.pseudonymised(docs)
+    assert out.columns == docs.columns and (out.first()._found, out.first()._new) == ("f", "n")
+    with pytest.raises(ValueError, match="already"):
+        pii.pseudonymised(docs, values=("_found", "x"))
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = [f"2001-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
     hosts = [f"10.1.{i}.{j}" for i in range(20) for j in range(20)]
