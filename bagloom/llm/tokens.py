@@ -13,7 +13,8 @@ pre-tokenizer always starts a new token there (` ?\\p{L}+` and its like take the
 look-ahead, `\\s+(?!\\S)`, concerns runs of white space. Special strings hold no space, so no cut falls inside one.
 Hence the ids of a text are those of its pieces in a row. A very long text without such a boundary is one piece.
 
-Defined results: a null text is empty, with 0 bytes and 0 tokens; repeated rows count each by itself.
+Defined results: a null text is empty, with 0 bytes and 0 tokens; repeated rows, and rows with a null id, count each by
+itself; an empty table gives no rows; other columns of documents are ignored.
 """
 
 from __future__ import annotations
@@ -52,12 +53,12 @@ class Ranks:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._bytes[list(ranks.values())] = [len(k) for k in ranks]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, set()), np.uint32)
+        return self._encoding.encode_to_numpy(text, disallowed_special=())
 
     def each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, each with a space before it, and where each piece ends. No piece may hold a space or begin or end with white space."""
@@ -73,15 +74,20 @@ def by_ranks(path: str) -> Ranks | None:
     return Ranks(twin) if twin != path and os.path.exists(twin) else None
 
 
+def bytes_of(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def balanced(pieces: list[str], most: int = BATCH_BYTES):
-    """Batches of pieces of about so many characters; a longer piece is a batch by itself."""
+    """Batches of pieces of about so many bytes; a longer piece is a batch by itself."""
     batch, size = [], 0
     for p in pieces:
-        if batch and size + len(p) > most:
+        own = bytes_of(p)
+        if batch and size + own > most:
             yield batch
             batch, size = [], 0
         batch.append(p)
-        size += len(p)
+        size += own
     if batch:
         yield batch
 
@@ -160,10 +166,10 @@ def encoder(path: str, only_count: bool) -> Encoder:
 
 
 def slices(texts: list, most: int = 2 << 20):
-    """Ranges of texts of about so many characters, so that memory holds the pieces of few texts at once."""
+    """Ranges of texts of about so many bytes, so that memory holds the pieces of few texts at once."""
     at = size = 0
     for i, t in enumerate(texts):
-        size += len(t or "")
+        size += bytes_of(t or "")
         if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
