@@ -155,6 +155,8 @@ def test_token_counts_are_the_librarys(spark):
     found = {r.doc_id: r for r in tokens.counts(docs_of(spark, texts), tokens.vocabulary_path()).collect()}
     assert [found[i].n_tokens for i in range(len(texts))] == [len(x) for x in ids_of(texts)]
     assert [found[i].n_bytes for i in range(len(texts))] == [len((t or "").encode()) for t in texts]
+    again = spark.createDataFrame([(7, "a b c"), (7, "a b c"), (None, "d e"), (7, "f")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in tokens.counts(again, tokens.vocabulary_path()).collect()) == [(0, 2), (7, 1), (7, 3), (7, 3)]
     other = tokens.counts(docs_of(spark, ["Some  Words here", None]), tokens.vocabulary_path("word_bpe_49k.json")).orderBy("doc_id").collect()
     assert other[0].n_tokens == 3 and other[1].n_tokens == 0
     assert tokens.counts(docs_of(spark, []), tokens.vocabulary_path()).count() == 0
@@ -189,6 +191,36 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_of(spark, []), tokens.vocabulary_path()).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_ids(spark):
+    ids = [1152921504606846977, 1152921504606846979, None, None]
+    docs = spark.createDataFrame([(i, t, "c", "r") for i, t in zip(ids, ["a b", "c d e", "x", None])], "doc_id long, text string, ids string, row string")
+    assert sorted((r.doc_id or 0 for r in packing.pack(docs, tokens.vocabulary_path()).collect())) == [0, 0, *ids[:2]]
+
+
+def test_repeated_rows_are_dealt_into_groups(spark):
+    """Half of all rows are one empty text without an id: no group gets them all."""
+    docs = spark.createDataFrame([(None, "") if i % 2 else (i, f"text {i}") for i in range(2000)], "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, tokens.vocabulary_path(), group=100).withColumn("part", F.shiftright("sequence_id", 32))
+    assert rows.count() == 2000
+    assert max(r["count"] for r in rows.where("doc_id is null").groupBy("part").count().collect()) < 100
+
+
+def test_sequences_hold_the_ids(spark):
+    import numpy as np
+
+    texts = [" ".join(words(n, n)) for n in (3000, 50, 700, 1, 900)] + [None, "", "漢字 " * 2000]
+    packed = packing.pack(docs_of(spark, texts), tokens.vocabulary_path(), with_ids=True, group_bytes=5000).cache()
+    made = {r.sequence_id: np.frombuffer(bytes(r.ids), "<u4") for r in packing.sequences(packed).collect()}
+    own = [[*x, 1] for x in ids_of(texts)]
+    got = {}
+    for r in sorted(packed.collect(), key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(made[r.sequence_id][r.offset : r.offset + r.length].tolist())
+    assert got == dict(enumerate(own))
+    assert all(len(s) == 2048 or len(s) & (len(s) - 1) == 0 for s in made.values())
+    plain = packing.pack(docs_of(spark, texts), tokens.vocabulary_path())
+    assert "ids" not in plain.columns
+
+
 def test_first_fit_takes_the_first_bin():
     import numpy as np
 
