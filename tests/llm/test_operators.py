@@ -262,25 +262,97 @@ def test_cascade_is_exact_and_agrees_with_the_join(spark, monkeypatch):
 def test_language(spark):
     r = random.Random(3)
     make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60))
-    rows = [(i, make("abcdefgh" if i % 2 else "stuvwxyzß"), "aa" if i % 2 else "zz") for i in range(60)] + [(60, None, "aa"), (61, "12 !!", "zz"), (62, "漢字" * 30, None), (63, "A", "aa")]
+    rows = [(i, make("abcdefgh" if i % 2 else "stuvwxyzß"), "aa" if i % 2 else "zz") for i in range(60)] + [(60, None, "aa"), (61, "12 !!", "zz"), (62, "漢字" * 30, None), (63, "A", "aa"), (64, "\U000e0100\U000f0000 \U000e0041", "aa"), (None, "abc", "aa"), (5, rows_again := "abcab cab", "aa"), (5, rows_again, "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    names, profiles = language.prototypes(docs.where("doc_id < 40"))
-    assert names == ["aa", "zz"]
+    learnt = language.prototypes(docs.where("doc_id < 40"))
+    blocks = list(language.blocks_of(learnt))
+    assert [n for names, _ in blocks for n in names] == ["aa", "zz"]
     shaped = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
-    found = {x.doc_id: x for x in language.identify(shaped, names, profiles).collect()}
+    found = {x.doc_id: x for x in language.identify(shaped, blocks).collect()}
     assert all(found[i].lang_pred == ("aa" if i % 2 else "zz") for i in range(60))
-    assert found[60].lang_pred == found[61].lang_pred == "und" and found[60].score == 0 and found[62].lang_pred in names
-    assert all(0 <= x.score <= 1 for x in found.values())
-    assert language.prototypes(docs.limit(0))[0] == []
-    assert {x.lang_pred for x in language.identify(shaped, [], profiles[:0]).collect()} == {"und"}
+    assert all(found[i].lang_pred == "und" and found[i].score == 0 for i in (60, 61, 64)) and found[62].lang_pred != "und"
+    assert all(0 <= x.score <= 1 for x in found.values()) and language.identify(shaped, blocks).count() == len(rows)
+    one_by_one = {x.doc_id: x for x in language.identify(shaped, language.blocks_of(learnt, 1)).collect()}
+    assert one_by_one == found
+    assert list(language.blocks_of(language.prototypes(docs.limit(0)))) == []
+    assert {x.lang_pred for x in language.identify(shaped, []).collect()} == {"und"}
 
 
-def test_triples_are_counted():
+def plain_bundle(space, text):
+    """A text's bundle, triple by triple."""
+    import numpy as np
+
+    codes = [0, *(c if (c := ord(ch)) and ch.isalpha() else 0 for ch in (text or "").lower()), 0]
+    kept = [c for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]]
+    v = {c: space.letters(np.array([c]))[0].astype(int) for c in set(kept)}
+    out = np.zeros(space.dimensions, int)
+    for a, b, c in zip(kept, kept[1:], kept[2:]):
+        if b:
+            out += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return out
+
+
+def test_bundles_match_a_plain_sum(monkeypatch):
+    import numpy as np
+
+    r = random.Random(2)
     space = language.Space(64, 1)
-    counts, vectors = language.counted(space, ["Ab ab!", None, "", "x"])
-    assert counts.sum(axis=1).tolist() == [4, 0, 0, 1] and vectors.shape == (counts.shape[1], 64)
-    many, _ = language.counted(space, ["".join(chr(0x4E00 + i) for i in range(3000))])
-    assert many.sum() == 3000
+    texts = ["Ab ab!", None, "", "x", "".join(chr(0x4E00 + i) for i in range(3000)), " ".join(words(400, 5)), "é1É  -ß", "ΑΣ ΣΑ", "".join(r.choice("abc -") for _ in range(5000))]
+    for part, triples, filled in ((1 << 20, 2048, 24), (700, 50, 0), (37, 7, 10**9)):
+        monkeypatch.setattr(language, "SLICE", part)
+        monkeypatch.setattr(language, "TRIPLES", triples)
+        monkeypatch.setattr(language, "FILLED", filled)
+        monkeypatch.setattr(language, "CELLS", triples * 100)
+        total = np.zeros((len(texts), 64))
+        for index, bundles in language.bundles_of(space, texts):
+            np.add.at(total, index, bundles)
+        assert (total == np.array([plain_bundle(space, t) for t in texts])).all()
+
+
+def test_long_texts_are_predicted_as_a_whole(spark, monkeypatch):
+    """Brute force: cosines of plain bundles with plain prototypes."""
+    import numpy as np
+
+    r = random.Random(9)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a, n in (("abcde ", 900), ("abxyz ", 900), ("vwxyz ", 2500), ("a漢字語 ", 1200), ("abc", 1), ("abcdexyz ", 5000))]
+    langs = ["p", "q", "r", "s", None, None]
+    space = language.Space(128, 20)
+    known = {g: plain_bundle(space, t) for g, t in zip(langs, texts) if g}
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    blocks = list(language.blocks_of(language.prototypes(docs, 128), 3))
+    found = language.identify(docs.select("doc_id", F.lit(True).alias("held_out"), "text"), blocks, 128).orderBy("doc_id").collect()
+    for t, x in zip(texts, found):
+        b = plain_bundle(space, t)
+        cosines = {g: float(b @ k / np.linalg.norm(b) / np.linalg.norm(k)) for g, k in known.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert x.lang_pred == best and x.score == pytest.approx(max(0, cosines[best]), abs=1e-5)
+
+
+def test_memory_of_many_triples_is_bounded():
+    """A thousand texts of random letters of a large alphabet: no matrix of texts by triples."""
+    import tracemalloc
+
+    r = random.Random(7)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(300)]
+    space = language.Space(32, 1)
+    space.letter  # noqa: B018
+    tracemalloc.start()
+    for _ in language.bundles_of(space, texts):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 80e6  # 300 x 90,000 cells of four bytes would be 108 MB
+    tracemalloc.stop()
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_held_out_accuracy(spark):
+    from bagloom.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    found = language.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
+    assert len(found) == docs.count() and all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in found)
+    judged = [x.lang_pred == x.lang for x in found if x.held_out and x.lang is not None and x.lang_pred != "und"]
+    assert len(judged) > 200 and sum(judged) / len(judged) > 0.98
+    assert all((x.lang_pred == "und") == (not any(c.isalpha() for c in x.text or "")) for x in found)
 
 
 # --- WARC
