@@ -8,15 +8,17 @@ strongly form a lexicon, and labelled toxic texts are graded by terciles of the
 Features are hashed words, weighted log(1 + count), where texts of over 100 words have their counts per 100 words, so
 one bound serves all lengths; those kept have some support and differ between the labels.
 
-The model is fitted on the driver from a bounded sample of labelled rows (at most `sample`, the least of a hash
-of the id in each class, weighted back to the classes' shares). All documents are scored, whole texts. The
+The model is fitted on the driver from a bounded sample of labelled texts: at most `sample` of them and at most
+`most_words` distinct words added up over them, half for each class, in the order of a hash of the id, weighted back to
+the classes' shares. All documents are scored, whole texts. The
 rejecting bound on the chance of any toxicity is the one with the best F1 over the sample, in two halves that
 judge each other.
 
 Defined results: a null or empty text has no features, so its severity is the model's least; without labelled
 rows of both classes every severity is 0 and nothing is rejected. Labels with a null id or null toxic are left
-out; an id that is labelled twice is toxic if one of its labels says so. Repeated documents are scored each by
-itself; an empty table gives no rows.
+out; an id that is labelled twice is toxic if one of its labels says so; of rows that repeat a labelled id, the text
+with the least hash trains. Repeated documents are scored each by itself; an empty table gives no rows; other columns of
+documents are ignored in scoring and kept in filtering.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cached, small, table, turn_to
+from .common import as_bytes, cached, keep, small, table, turn_to
 from .decontaminate import words_of
 
-SAMPLE, BUCKETS, FEATURES, GRADES = 12_000, 1 << 20, 20_000, 4
+SAMPLE, MOST_WORDS, BUCKETS, FEATURES, GRADES = 12_000, 6_000_000, 1 << 20, 20_000, 4
 #: Words from which counts become shares, so that a text's length alone doesn't raise its score.
 LONG = 100
 _words: dict[bytes, int] = cached("toxicity", {})
@@ -110,8 +112,8 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return p[:width], p[width] + np.concatenate([[0.0], np.cumsum(np.exp(p[width + 1 :]))])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list:
-    """Features of the sampled texts: (toxic, buckets, counts, words)."""
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, most_words: int) -> list:
+    """Features of the sampled texts: (toxic, buckets, counts)."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ranked = [known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for t in (0, 1)]
@@ -123,16 +125,27 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list:
     def features(batches):
         for batch in small(batches):
             counted = [Counter(words_of(t)) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([buckets_of(c) for c in counted], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["toxic", "doc_id", "buckets", "counts"])
-
-    found = texts.select("text", "toxic", "doc_id").mapInArrow(features, "toxic int, doc_id long, buckets array<int>, counts array<int>").toArrow()
-    flat = lambda c: [np.asarray(x.values) for x in found.column(c).combine_chunks()]
-    rows = list(zip(found.column("doc_id").to_pylist(), found.column("toxic").to_pylist(), flat("buckets"), flat("counts"), strict=True))
-    return [r[1:] for r in sorted(rows, key=lambda r: (r[0], r[1], len(r[2])))[: 2 * sample]]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array([buckets_of(c) for c in counted], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["toxic", "doc_id", "h", "buckets", "counts"])
+
+    each = texts.select("text", "toxic", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(features, "toxic int, doc_id long, h long, buckets array<int>, counts array<int>")
+    found = each.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "buckets", "counts"), "h").alias("x")).select("doc_id", F.xxhash64("doc_id").alias("place"), "x.*")
+    found = keep(found, "toxicity-sample")
+    taken = []
+    sizes = sorted(found.select("toxic", "place", "doc_id", F.size("buckets").alias("n")).collect())
+    for t in (0, 1):
+        mine = [r for r in sizes if r.toxic == t]
+        total = np.cumsum([r.n for r in mine])
+        taken += [(r.doc_id,) for r in mine[: max(1, int(np.searchsorted(total, most_words // 2, side="right")))]]
+    if not taken:
+        return []
+    gathered = found.join(F.broadcast(spark.createDataFrame(taken, "doc_id long")), "doc_id").select("doc_id", "toxic", "buckets", "counts").toArrow()
+    flat = lambda c: [np.asarray(x.values) for x in gathered.column(c).combine_chunks()]
+    rows = zip(gathered.column("doc_id").to_pylist(), gathered.column("toxic").to_pylist(), flat("buckets"), flat("counts"), strict=True)
+    return [r[1:] for r in sorted(rows, key=lambda r: r[0])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = _sampled(docs, labels, sample)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_words: int = MOST_WORDS) -> Model:
+    rows = _sampled(docs, labels, sample, most_words)
     toxic = np.array([r[0] for r in rows], int)
     if len(set(toxic.tolist())) < 2:
         return Model()

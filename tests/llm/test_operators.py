@@ -444,6 +444,65 @@ def test_toxicity(spark):
     assert toxicity.score(docs_of(spark, []), model).count() == 0
 
 
+def test_the_ordinal_fit_is_a_minimum():
+    """The penalised likelihood, written out plainly, has no slope at the fit and is higher all around it."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n, width, penalty = 200, 5, 0.3
+    x = r.normal(size=(n, width)) * (r.random((n, width)) < 0.6)
+    grades = np.clip((x @ np.array([1.5, -1, 0.5, 0, 2]) + r.logistic(size=n) + 1).astype(int), 0, 3)
+    weight = r.uniform(0.5, 2, n)
+    rows, columns = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(rows, columns, x[rows, columns], grades, weight, width, penalty, rounds=3000)
+    assert list(theta) == sorted(theta)
+
+    def loss(p):
+        total = 0.5 * penalty * sum(v * v for v in p[:width])
+        for i in range(n):
+            score = sum(a * b for a, b in zip(x[i], p[:width]))
+            cut = [0.0, *(1 / (1 + math.exp(score - t)) for t in p[width:]), 1.0]
+            total -= weight[i] * math.log(cut[grades[i] + 1] - cut[grades[i]])
+        return total
+
+    best = [*w, *theta]
+    for k in range(len(best)):
+        up, down = [[*best[:k], best[k] + d, *best[k + 1 :]] for d in (1e-3, -1e-3)]
+        assert abs(loss(up) - loss(down)) / 2e-3 < 0.05 and loss(up) > loss(best) - 1e-6 < loss(down)
+
+
+def test_severity_by_hand(spark):
+    """Scores against the formula over plain word counts; null, empty, very long and repeated texts."""
+    import math
+
+    import numpy as np
+
+    word = lambda w: toxicity.buckets_of([w.encode()])[0]
+    model = toxicity.Model({word("vile"): 1.5, word("nasty"): 0.7, word("fine"): -0.4}, np.array([1.0, 2.0, 3.5]), 0.5)
+    texts = ["Vile vile nasty", "fine day", None, "", "vile " * 500 + "x " * 200_000, "vile nasty fine" * 1, "vile nasty fine"]
+    for t, x in zip(texts, toxicity.score(docs_of(spark, texts), model).orderBy("doc_id").collect()):
+        counted = {}
+        for w in (t or "").lower().split():
+            counted[w] = counted.get(w, 0) + 1
+        share = 100 / max(100, sum(counted.values()))
+        score = sum(v * math.log(1 + counted.get(w, 0) * share) for w, v in (("vile", 1.5), ("nasty", 0.7), ("fine", -0.4)))
+        above = [1 / (1 + math.exp(c - score)) for c in (1.0, 2.0, 3.5)]
+        exact = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert x.severity == pytest.approx(sum(above)) and x.grade == exact.index(max(exact)) and x.rejected == (above[0] >= 0.5)
+
+
+def test_the_sample_is_bounded(spark):
+    """An id that half of the rows repeat trains once, and long texts do not exceed the bound on words."""
+    texts = [f"{'vile' if i % 2 else 'fine'} {' '.join(words(200, i, 10**6))}" for i in range(60)]
+    docs = docs_of(spark, texts).union(docs_of(spark, texts[:1]).crossJoin(spark.range(200)).drop("id"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert len(toxicity._sampled(docs, labels, 1000, 10**6)) == 60
+    rows = toxicity._sampled(docs, labels, 1000, 4000)
+    assert sum(len(r[1]) for r in rows) <= 4000 and {r[0] for r in rows} == {0, 1}
+
+
 def test_toxicity_of_long_texts(spark):
     """Words that toxic texts have five times as often do not reject a clean text for its length."""
 
