@@ -4,7 +4,10 @@ Each record is one gzip member. A task writes one archive as a run of segments o
 segment is a valid archive by itself, any tool reads the segments put together, and readers need no order among
 them. Segments are rows of a table in the shared folder; `export` makes files of them. The reader goes through
 bytes once: it inflates member after member from chunks, takes the header up to its empty line, then as many
-bytes as Content-Length says, and verifies the digests of block and payload.
+bytes as Content-Length says, and verifies the digests of block and payload (SHA-1, SHA-256 or MD5, in base 32 or
+hexadecimal). Any kind of record is read: the payload is the body of an HTTP message (of a chunked one, what its chunks
+hold; its digest may be of either form) or, without HTTP, the whole block; a revisit has that of the record it refers
+to, whose digest it states and whose length it states at most as its Content-Length header.
 
 Of records with equal payloads of at least `least` bytes the one with the largest page id is a response, and the
 others are revisits that refer to it and hold no payload. Which pages are revisits is found from ids and digests
@@ -12,7 +15,8 @@ alone, counted before shuffling; only revisits (a third of the rows, if one payl
 back by page id, evenly.
 
 Defined results: a null html is an empty payload; rows that repeat the largest page id of a payload are each a
-response; a null page id is a response by itself; an empty table gives no records.
+response; a null page id is a response by itself; an empty table gives no records; other columns are ignored. Damaged
+archives raise ValueError.
 """
 
 from __future__ import annotations
@@ -78,23 +82,87 @@ def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
 def record_of(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and block of one record, framed by Content-Length; digests are verified."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode(errors="replace").split("\r\n")
     if not gap or not version.startswith("WARC/"):
         raise ValueError("no WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    if "warc-type" not in headers or not headers.get("content-length", "").isdigit():
+        raise ValueError("a record lacks its type or its length")
     length = int(headers["content-length"])
     block, end = rest[:length], rest[length:]
     if len(block) != length or end != b"\r\n\r\n":
         raise ValueError("the block does not have the length that Content-Length says")
-    if "warc-block-digest" in headers and headers["warc-block-digest"] != sha1(block):
+    if not fits(headers.get("warc-block-digest"), block):
         raise ValueError("the block does not have its digest")
-    if headers["warc-type"] == "response" and "warc-payload-digest" in headers and headers["warc-payload-digest"] != sha1(payload_of(block)):
-        raise ValueError("the payload does not have its digest")
+    if headers["warc-type"] != "revisit" and "warc-payload-digest" in headers:
+        plain, sent = payload_of(headers, block), http_of(headers, block)
+        if not fits(headers["warc-payload-digest"], plain) and not (sent and fits(headers["warc-payload-digest"], sent[1])):
+            raise ValueError("the payload does not have its digest")
     return headers, block
 
 
-def payload_of(block: bytes) -> bytes:
-    return block.partition(b"\r\n\r\n")[2]
+def fits(stated: str | None, data: bytes) -> bool:
+    """Whether data has a stated digest; digests of unknown kinds are not judged."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower().replace("-", "") not in ("sha1", "sha256", "md5"):
+        return True
+    digest = hashlib.new(kind.lower().replace("-", ""), data)
+    return value.lower() == digest.hexdigest() or value.upper().rstrip("=") == base64.b32encode(digest.digest()).decode().rstrip("=")
+
+
+def hexadecimal(stated: str) -> str:
+    """The value of a digest such as sha1:..., in lower-case hexadecimal."""
+    kind, _, value = stated.rpartition(":")
+    sizes = {"sha1": 40, "sha256": 64, "md5": 32}
+    if len(value) == sizes.get(kind.lower().replace("-", ""), 40):
+        return value.lower()
+    return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+
+
+def http_of(headers: dict[str, str], block: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Headers and body of an HTTP message, if the block is one."""
+    if not headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    lines = head.decode("latin-1").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}, body
+
+
+def unchunked(body: bytes) -> bytes:
+    """What the chunks of a chunked body hold; a body that isn't well formed stays as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            return body
+        if end < 0 or size < 0:
+            return body
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+        if len(out[-1]) != size or body[at - 2 : at] != b"\r\n":
+            return body
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    if (http := http_of(headers, block)) is None:
+        return block
+    return unchunked(http[1]) if http[0].get("transfer-encoding", "").lower() == "chunked" else http[1]
+
+
+def described(headers: dict[str, str], block: bytes) -> tuple:
+    """A row of RECORDS."""
+    stated = headers.get("warc-payload-digest")
+    if headers["warc-type"] == "revisit":
+        length = (http_of(headers, block) or ({}, b""))[0].get("content-length", "")
+        digest, size = hexadecimal(stated) if stated else None, int(length) if length.isdigit() else None
+    else:
+        payload = payload_of(headers, block)
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    return headers.get("warc-record-id", "").strip("<>"), headers["warc-type"], headers.get("warc-target-uri", "").strip("<>"), headers.get("warc-refers-to", "").strip("<>") or None, digest, size, int(headers["content-length"])
 
 
 def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,8 +213,7 @@ def read(archives: DataFrame) -> DataFrame:
                 for headers, block in records(view[i : i + CHUNK] for i in range(0, len(view), CHUNK)):
                     if headers["warc-type"] == "warcinfo":
                         continue
-                    http = dict(line.lower().split(": ", 1) for line in block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
-                    rows.append((headers["warc-record-id"].strip("<>"), headers["warc-type"], headers["warc-target-uri"], headers.get("warc-refers-to", "").strip("<>") or None, base64.b32decode(headers["warc-payload-digest"][5:]).hex(), int(http["content-length"]), int(headers["content-length"])))
+                    rows.append(described(headers, block))
                 columns = list(zip(*rows, strict=True)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 5 else pa.int64()) for k, c in enumerate(columns)], names=["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "content_length"])
 

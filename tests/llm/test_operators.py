@@ -248,12 +248,20 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact_and_agrees_with_the_join(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"http://h{i}.d{i % 50}.com/p{i % 7}/x") for i in range(3000)], "page_id long, url string")
+@pytest.mark.parametrize("block", [1 << 20, 50])
+def test_cascades_are_exact(spark, monkeypatch, block):
+    pages = spark.createDataFrame([(i, f"http://h{i}.d{i % 50}.com/p{i % 7}/x") for i in range(3000)] + [(None, "http://h7.d7.com/")], "page_id long, url string")
     rules = [("block" if i % 3 else "allow", f"h{i}.d{i % 50}.com/") for i in range(0, 3000, 7)] + [("block", "d3.com/p1/"), ("allow", "d3.com/")]
-    by_cascade = urlfilter.judge(pages, rules).orderBy("page_id").collect()
-    monkeypatch.setattr(urlfilter, "MOST_RULES", 1)
-    assert by_cascade == urlfilter.judge(pages, rules).orderBy("page_id").collect()
+    monkeypatch.setattr(urlfilter, "RULES", rules)
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, rules, block=block).collect()}
+    assert found == {r.page_id: judged(r.url) for r in pages.collect()}
+    assert {r.verdict for r in urlfilter.judge(pages, [], default="block").collect()} == {"block"}
+
+
+def test_a_long_url(spark):
+    url = "http://" + "a." * 100_000 + "net/" + "p" * 200_000
+    r = urlfilter.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (r.rule, r.verdict, len(r.path)) == ("net/", "block", 200_001)
 
 
 # --- language
@@ -378,7 +386,7 @@ def test_warc_framing():
     archive = record * 3
     for size in (1, 7, 10_000):
         read = list(warc.records(archive[i : i + size] for i in range(0, len(archive), size)))
-        assert len(read) == 3 and warc.payload_of(read[2][1]) == b"payload"
+        assert len(read) == 3 and warc.payload_of(*read[2]) == b"payload"
     with pytest.raises(ValueError, match="inside a gzip member"):
         list(warc.records([archive[:-5]]))
     damaged = warc.member([("WARC-Type", "response"), ("WARC-Block-Digest", warc.sha1(b"other"))], b"block")
@@ -386,6 +394,48 @@ def test_warc_framing():
         list(warc.records([damaged]))
 
 
+def test_foreign_records(spark):
+    """Records as other tools write them: requests, metadata, dns, chunked responses, other digests, revisits without a length."""
+    http, kind = "application/http; msgtype=%s", lambda t, i, *more: [("WARC-Type", t), ("WARC-Record-ID", f"<urn:uuid:{i}>"), *more]
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n4;x=1\r\ndefg\r\n0\r\n\r\n"
+    parts = [
+        warc.member(kind("warcinfo", 0), b"software: other\r\n"),
+        warc.member(kind("request", 1, ("Content-Type", http % "request")), b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+        warc.member(kind("metadata", 2, ("Content-Type", "application/warc-fields")), b"via: x\r\n"),
+        warc.member(kind("response", 3, ("Content-Type", "text/dns")), b"20260101000000\nx. 60 IN A 1.2.3.4\n"),
+        warc.member(kind("response", 4, ("Content-Type", http % "response"), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(b'abcdefg').hexdigest()}")), chunked),
+        warc.member(kind("response", 5, ("Content-Type", http % "response"), ("WARC-Payload-Digest", warc.sha1(chunked.partition(b"\r\n\r\n")[2]))), chunked),
+        warc.member(kind("revisit", 6, ("Content-Type", http % "response"), ("WARC-Payload-Digest", warc.sha1(b"p")), ("WARC-Refers-To", "<urn:uuid:4>")), b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"),
+        warc.member(kind("resource", 7, ("Content-Type", "image/gif"), ("WARC-Block-Digest", "blake3:zz")), b"\x00\xff"),
+        warc.member(kind("conversion", 8), b""),
+    ]
+    found = {int(r.record_id.rpartition(":")[2]): r for r in warc.read(spark.createDataFrame([(bytearray(b"".join(parts)),)], "content binary")).collect()}
+    assert [found[i].record_type for i in range(1, 9)] == ["request", "metadata", "response", "response", "response", "revisit", "resource", "conversion"]
+    assert [found[i].payload_bytes for i in range(1, 9)] == [0, 8, 34, 7, 7, None, 2, 0]
+    assert found[4].payload_digest == hashlib.sha1(b"abcdefg").hexdigest() and found[6].payload_digest == hashlib.sha1(b"p").hexdigest() and found[6].refers_to == "urn:uuid:4"
+    with pytest.raises(ValueError, match="payload"):
+        list(warc.records([warc.member(kind("response", 9, ("Content-Type", http % "response"), ("WARC-Payload-Digest", warc.sha1(b"q"))), chunked)]))
+    with pytest.raises(ValueError, match="length"):
+        warc.record_of(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n")
+
+
+def test_exported_archives_are_read_as_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "z" * 1200 if i % 3 else f"page {i}") for i in range(50)], "page_id long, url string, html string").repartition(3)
+    segments = warc.write(warc.with_revisits(pages))
+    warc.export(segments, f"file://{tmp_path}/out")
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/out/*.warc.gz")
+    assert sorted(map(tuple, warc.read(files).collect()), key=repr) == sorted(map(tuple, warc.read(segments).collect()), key=repr)
+    heads = [gzip.open(p).read().split(b"\r\n", 1)[0] for p in (tmp_path / "out").iterdir()]
+    assert heads and set(heads) == {b"WARC/1.1"}
+
+
+def test_warc_of_repeated_rows(spark):
+    big = "x" * 1000
+    pages = spark.createDataFrame([(3, "u", big), (3, "u", big), (1, "u", big), (1, "u", big), (None, "u", big), (2, "u", "y" * 999), (1, "u", "y" * 999)], "page_id long, url string, html string")
+    found = sorted((r.record_id, r.record_type, r.refers_to or "") for r in warc.read(warc.write(warc.with_revisits(pages))).collect())
+    assert found == sorted([("urn:page:3", "response", "")] * 2 + [("urn:page:1", "revisit", "urn:page:3")] * 2 + [("urn:page:", "response", ""), ("urn:page:2", "response", ""), ("urn:page:1", "response", "")])
+
+
 # --- fingerprints
 
 
