@@ -5,11 +5,12 @@ once. Normalising maps one byte to one byte, so a match in the normalised text i
 
 The windows are cut into blocks of bounded bytes. Each block is broadcast by itself (its size is proven when
 it is cut) and becomes one automaton; a usual benchmark fits one block. With more blocks a task takes them
-one after the other over each batch of documents, so memory holds one automaton at a time.
+one after the other over some megabytes of documents, so memory holds one automaton at a time, and making it anew
+costs less than the scan.
 
 Defined results: a null or empty text has no words and no hits; items without words, with a null id or a null
 text have no windows; repeated items and repeated documents count each by itself; an empty benchmark hits
-nothing. Further columns of the inputs are ignored.
+nothing. Further columns of the inputs, whatever their names, are ignored by `scan` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import as_bytes, cached, small, table, turn_to
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of windows in one automaton: at about 50 bytes a node, some 200 MB at most.
 BLOCK_BYTES = 4 << 20
+#: Bytes of texts for which automata are made anew if there are several.
+SLICE_BYTES = 32 << 20
 
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
 
@@ -111,6 +114,20 @@ def original_spans(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": len(raw[: at[a][0]].decode()), "stop": len(raw[: at[b - 1][1]].decode())} for a, b in ranges]
 
 
+def sliced(batches, most: int):
+    """Batches put together up to so many bytes."""
+    waiting, size = [], 0
+    for batch in batches:
+        if waiting and size + batch.nbytes > most:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, size = [], 0
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int):
     """A function from texts to their words, hit word ranges and items, for use in tasks."""
     blocks = [(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(b)) for b in blocks_of(benchmark, width, block_bytes)]
@@ -129,15 +146,15 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int):
                     items[i] |= of
         return counts, [merged(r) for r in ranges], items
 
-    return hits
+    return hits, len(blocks)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: words, words inside any occurrence of a benchmark window, items that occur, hit spans of the original text."""
-    hits = _hits(docs, benchmark, width, block_bytes)
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, with_spans: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Per document: words, words inside any occurrence of a benchmark window, items that occur, hit spans of the original text (empty without with_spans)."""
+    hits, blocks = _hits(docs, benchmark, width, block_bytes)
 
     def scanned(batches):
-        for batch in small(batches):
+        for batch in small(batches) if blocks < 2 else sliced(batches, slice_bytes):
             raw = as_bytes(batch.column(1))
             counts, ranges, items = hits(raw)
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +163,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: in
                     pa.array(counts, pa.int64()),
                     pa.array([sum(b - a for a, b in r) for r in ranges], pa.int64()),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                    pa.array([original_spans(t, r) if r else [] for t, r in zip(raw, ranges, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                    pa.array([original_spans(t, r) if r and with_spans else [] for t, r in zip(raw, ranges, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                 ],
                 names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
@@ -156,7 +173,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: in
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows, with all their columns, whose text holds no benchmark window. No shuffle: each row is judged where it is read."""
-    hits = _hits(docs, benchmark, width, block_bytes)
+    hits, _ = _hits(docs, benchmark, width, block_bytes)
 
     def free(texts: pa.Array) -> pa.Array:
         return pa.array([not r for r in hits(as_bytes(texts))[1]], pa.bool_())
@@ -165,7 +182,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: i
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), with_spans=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
