@@ -10,11 +10,14 @@ Words are the lower-cased runs without white space (space and U+0009 to U+000D).
 
 Defined results: a null or empty text, or one without words, has an empty sketch; two empty sketches resemble
 each other by 1, an empty and another one by 0. Repeated rows are each a document: they follow each other by id,
-then text. An empty table gives no rows; a table of one row is its own next document.
+then text. A null id comes first. An empty table gives no rows; a table of one row is its own next document. Other
+columns are ignored. Rows that repeat one id stay in one range, whose window spills to disk.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,29 +77,46 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+def _literal(values: list) -> Column:
+    """An array that is one constant of the plan, whatever its length."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are at most the value, by bisection; 0 for null."""
+    at = _literal(bounds)
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        below = F.get(at, middle) <= value
+        open_ = s["low"] < s["high"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(s["high"]).alias("high"))
+
+    steps = F.array(*[F.lit(0)] * len(bounds).bit_length())
+    return F.when(value.isNull() | F.lit(not bounds), 0).otherwise(F.aggregate(steps, whole, halved, lambda s: s["low"]))
+
+
 def with_next(docs: DataFrame, order: str, ranges: int) -> DataFrame:
-    """Rows dealt into ranges by ascending `order`, each with `part` (its range) and `kept`.
+    """Rows dealt into ranges by ascending `order` (long), each with `part` (its range) and `kept`.
 
     The first row of each range stands, not kept, at the end of the range before it too, and the first of all at
     the end of the last range, so that a window over one range sees every row's successor. Only the ranges'
-    bounds and first ids are gathered: a few numbers for each range.
+    bounds and first ids are gathered: a few numbers for each range. A row finds its range by bisection.
     """
+    bounds = []
     if ranges > 1:
-        bounds = docs.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first().b or []
-    else:
-        bounds = []
-    bounds = sorted(set(bounds))
-    part = F.lit(0) if not bounds else F.when(F.col(order).isNull(), 0).otherwise(F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))), F.lit(0)))
-    rows = docs.withColumn("part", part)
-    firsts = {r.part: r.first for r in rows.groupBy("part").agg(F.min(order).alias("first")).collect()}
+        bounds = sorted(set(docs.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("b")).first().b or []))
+    rows = docs.withColumn("part", range_of(F.col(order), bounds))
+    firsts = {r.part: r.first for r in rows.groupBy("part").agg(F.min_by(order, F.struct(F.col(order).isNotNull(), order)).alias("first")).collect()}
     held = sorted(firsts)
     if not held:
         return rows.withColumn("kept", F.lit(True)).withColumn("turn", F.lit(0))
     first_of, before = [None] * (held[-1] + 1), [None] * (held[-1] + 1)
     for i, p in enumerate(held):
         first_of[p], before[p] = firsts[p], held[i - 1]
-    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part"))
-    again = F.when(F.col(order).eqNullSafe(at(first_of, rows.schema[order].dataType)), at(before, "int"))
+    at = lambda values: F.get(_literal(values), F.col("part"))
+    again = F.when(F.col(order).eqNullSafe(at(first_of)), at(before).cast("int"))
     places = F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("kept"), F.lit(0).alias("turn")), F.struct(again.alias("part"), F.lit(False).alias("kept"), F.lit(1).alias("turn")))
     placed = rows.withColumn("place", F.explode(F.filter(places, lambda p: p["part"].isNotNull())))
     return placed.drop("part").select("*", "place.part", "place.kept", "place.turn").drop("place")

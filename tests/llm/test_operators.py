@@ -36,8 +36,12 @@ def test_decontamination(spark):
     assert found[0].items == ["1"] and found[2].items == ["2", "5"] and found[3].n_words == 0
     assert texts[2][found[2].spans[0].start : found[2].spans[0].stop] == "short, ONE"
     assert texts[6][found[6].spans[0].start : found[6].spans[0].stop] == " ".join(item.split()[1:])
-    blocks = {r.doc_id: (r.n_hit, r.items) for r in decontaminate.scan(docs_of(spark, texts), benchmark, block_bytes=100).collect()}
-    assert blocks == {i: (r.n_hit, r.items) for i, r in found.items()}
+    for size in (1, 1000, 1 << 20):
+        blocks = {r.doc_id: (r.n_hit, r.items, r.spans) for r in decontaminate.scan(docs_of(spark, texts), benchmark, block_bytes=100, slice_bytes=size).collect()}
+        assert blocks == {i: (r.n_hit, r.items, r.spans) for i, r in found.items()}
+    again = spark.createDataFrame([(1, "short one", "z"), (1, "short one", "z"), (None, "SHORT one.", "z"), (2, "one short", "z")], "doc_id long, text string, spans string")
+    assert sorted((r.doc_id or 0, r.n_hit) for r in decontaminate.scan(again, benchmark).collect()) == [(0, 2), (1, 2), (1, 2), (2, 0)]
+    assert [tuple(r) for r in decontaminate.clean(again, benchmark).collect()] == [(2, "one short", "z")]
     kept = decontaminate.clean(docs_of(spark, texts), benchmark)
     assert kept.columns == docs_of(spark, []).columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5}
     assert decontaminate.scan(docs_of(spark, []), benchmark).count() == 0
@@ -458,6 +462,49 @@ def test_fingerprints(spark):
     assert alone.edited == "abcabc"
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_likeness_against_brute_force(spark, ranges):
+    """near_edited and near_next beside the exact resemblance; ids repeat, one is null, and ids are far apart."""
+    import statistics
+
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").lower().split())
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    r = random.Random(5)
+    rows = [(None, "null id " * 3)]
+    for i in range(60):
+        base = words(r.choice([3, 60, 200, 600]), i)
+        rows.append((i * i * 1000 - 5, " ".join(base)))
+        if i % 4 == 0:
+            near = list(base)
+            near[r.randrange(len(near))] = "edited"
+            rows.append((i * i * 1000 - 4, " ".join(near)))
+        if i % 10 == 0:
+            rows += [(i * i * 1000 - 5, None if i % 20 else " ".join(base))] * 3
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    docs = spark.createDataFrame([(a, b, "p", "q") for a, b in r.sample(rows, len(rows))], "doc_id long, text string, part string, kept string").repartition(5)
+    found = fingerprints.with_edited(docs, ranges=ranges)
+    k = F.col
+    got = found.select("doc_id", "text", "edited", fingerprints.resemblance(k("sketch"), k("edited_sketch")).alias("e"), fingerprints.resemblance(k("sketch"), k("next_sketch")).alias("n")).collect()
+    got.sort(key=lambda x: (x.doc_id is not None, x.doc_id or 0, x.text))
+    assert len(got) == len(rows)
+    errors = []
+    for (a, b), g, (_, c) in zip(rows, got, [*rows[1:], rows[0]]):
+        own, after = b or "", c or ""
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        assert (g.doc_id, g.text, g.edited) == (a, own, edited)
+        errors += [abs(g.e - like(shingles(own), shingles(edited))), abs(g.n - like(shingles(own), shingles(after)))]
+        if max(len(shingles(own)), len(shingles(edited))) < fingerprints.K:
+            assert errors[-2] < 1e-9
+    assert max(errors) < 0.2 and statistics.mean(errors) < 0.02
+
+
+def test_many_ranges_are_found_by_bisection(spark):
+    bounds = list(range(0, 3_000_000, 30))
+    out = spark.createDataFrame([(-1,), (0,), (29,), (30,), (1_500_001,), (9_999_999,), (None,)], "v long").select("v", fingerprints.range_of(F.col("v"), bounds).alias("r")).collect()
+    assert [x.r for x in out] == [0, 1, 1, 2, 50_001, 100_000, 0]
+
+
 def test_sketches_merge(spark):
     a, b = " ".join(words(500, 1)), " ".join(words(500, 2))
     df = spark.createDataFrame([(a, b)], "a string, b string")
