@@ -7,9 +7,13 @@ Stages, each over all that its predecessor kept, written as Parquet and read bac
    Jaccard similarity of 0.8 or more).
 3. decontamination: documents that hold a window of ten words of a benchmark item go.
 4. pii: personal values become format-preserving pseudonyms.
-5. packing: documents are cut and packed into sequences of 2048 tokens.
+5. packing: documents are cut and packed into sequences of 2048 tokens; each piece has its ids and its place in its
+   sequence, and `packing.sequences` of these rows gives the sequences.
 
-Stages 2 to 4 return the columns of documents; n_chars stays what it was, since pseudonyms keep their format.
+Stages 1 to 4 return the columns of documents, whatever they are; n_chars stays what it was, since pseudonyms keep
+their format. Defined results: a null or empty text is neither toxic, a copy nor contaminated, and is packed as the end
+id alone; repeated rows of a group's least id are one; an empty table of documents gives no rows; without labels of both
+classes nothing is rejected.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ def pii_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokens.vocabulary_path())
+    return packing.pack(docs, tokens.vocabulary_path(), with_ids=True)
 
 
 STAGES = [
@@ -50,7 +54,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL expresses neither the model, the pseudonyms nor the tokenizer; tests hold each stage against brute force.
+#: SQL expresses neither the model, the pseudonyms nor the tokenizer; tests hold the whole against brute force.
 ORACLE_SQL = None
 
 
