@@ -67,12 +67,24 @@ class Model:
             raise ValueError("no bags to predict")
         return predict(bags, self.cores, self.eps, self.dims, self.metric)
 
+    def predict_fitted(self, bags: DataFrame, links: DataFrame) -> DataFrame:
+        """As `predict`, of the bags that were fitted, by their links (a, b, dist); a core bag's own distance is 0."""
+        own = self.cores.select(F.col("pos").alias("pos_a"), F.col("pos").alias("pos_b"), F.lit(0.0).alias("dist"))
+        near = links.where(F.col("dist") <= self.eps)
+        both = near.select("a", "b", "dist").union(near.select("b", "a", "dist")).toDF("pos_a", "pos_b", "dist").union(own)
+        return nearest(bags, both, self.assignments.where("is_core"))
+
     def __repr__(self) -> str:
         return f"Model(eps={self.eps}, min_pts={self.min_pts}, mode={self.mode}, clusters={self.cluster_count})"
 
 
 def predict(bags: DataFrame, cores: DataFrame, eps: float, dims: int, metric: str = "hausdorff") -> DataFrame:
     near = epsjoin.near(bags, cores, eps, dims, metric) if dims else bags.sparkSession.createDataFrame([], "pos_a long, pos_b long, dist double")
+    return nearest(bags, near, cores)
+
+
+def nearest(bags: DataFrame, near: DataFrame, cores: DataFrame) -> DataFrame:
+    """(pos, bag_id, cluster_id) of bags, by their distances (pos_a, pos_b, dist) to cores."""
     known = cores.select(F.col("pos").alias("pos_b"), "cluster_id")
     best = near.join(known, "pos_b").groupBy("pos_a").agg(F.min_by("cluster_id", F.struct("dist", "cluster_id")).alias("cluster_id"))
     return bags.select("pos", "bag_id").join(best.withColumnRenamed("pos_a", "pos"), "pos", "left").select("pos", "bag_id", F.coalesce("cluster_id", F.lit(NOISE)).cast("int").alias("cluster_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +21,20 @@ def centroids(bags: DataFrame, dims: int | None = None) -> DataFrame:
 
 
 def components_of(points: DataFrame, dims: int, k: int = 2) -> tuple[list[float], np.ndarray]:
-    """Mean and first k principal directions of `centroid`. Sums of products are aggregated in Spark; only they are gathered. Each direction's largest loading is positive."""
+    """Mean and first k principal directions of `centroid`. Each task adds up products of its points; only the sums are shuffled and gathered. Each direction's largest loading is positive."""
     at = [F.get("centroid", i) for i in range(dims)]
     means = points.agg(*[F.avg(a).alias(f"m{i}") for i, a in enumerate(at)]).first()
     mean = [m or 0.0 for m in means]
-    centred = points.select(F.array(*[a - m for a, m in zip(at, mean, strict=True)]).alias("c"))
-    products = centred.select(F.posexplode("c").alias("i", "x"), "c").select("i", F.posexplode(F.transform("c", lambda y: y * F.col("x"))).alias("j", "xy")).groupBy("i", "j").agg(F.sum("xy").alias("s")).collect()
+
+    def products(batches):
+        total = np.zeros((dims, dims))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), float).reshape(-1, dims) - mean
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dims), dims)), pa.array(np.tile(np.arange(dims), dims)), pa.array(total.ravel())], names=["i", "j", "s"])
+
     matrix = np.zeros((dims, dims))
-    for r in products:
+    for r in points.select("centroid").mapInArrow(products, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
         matrix[r.i, r.j] = r.s
     directions = np.linalg.eigh(matrix)[1][:, ::-1][:, :k]
     largest = np.abs(directions).argmax(axis=0)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,44 @@ def test_eps_join_is_all_pairs(spark, eps):
     assert found == want
 
 
+@pytest.mark.parametrize(("busy", "crowded", "rows", "pairs"), [(1, 3, 50, 7), (0, 10**6, 10**6, 10**6), (10, 1, 1, 1), (10**9, 5, 100, 50)])
+def test_eps_join_in_parts(spark, monkeypatch, busy, crowded, rows, pairs):
+    """Crowded cells dealt into parts, and sweeps of few rows, change no pair; each pair comes once."""
+    for name, value in (("BUSY", busy), ("CROWDED", crowded), ("ROWS", rows), ("PAIRS", pairs)):
+        monkeypatch.setattr(epsjoin, name, value)
+    bags = random_bags(90, 11, dims=3, spread=2.0) + [[[0.5, 0.5, 0.5]]] * 25 + [[[float("inf"), 0.0, 0.0]], [[1e300, 0.0, 0.0]], []]
+    r = random.Random(3)
+    bags += [[[v + r.uniform(-0.3, 0.3) for v in p] for p in b] for b in bags[:20]]
+    df = bags_of(spark, bags).repartition(3)
+    found = sorted((x.a, x.b) for x in epsjoin.links(df, 0.5, 3).collect())
+    assert found == [(i, j) for i in range(len(bags)) for j in range(i + 1, len(bags)) if brute(bags[i], bags[j]) <= 0.5]
+    a, b = df.where("pos < 40"), df.where("pos >= 30")
+    got = sorted((x.pos_a, x.pos_b) for x in epsjoin.near(a, b, 0.4, 3).collect())
+    assert got == [(i, j) for i in range(40) for j in range(30, len(bags)) if i == j and brute(bags[i], bags[i]) == 0 or i != j and brute(bags[i], bags[j]) <= 0.4]
+
+
+def test_eps_join_makes_few_candidates(spark):
+    bags = random_bags(1500, 12, dims=3, spread=3.0)
+    boxes = epsjoin._boxed(bags_of(spark, bags), 3, 0.3)
+    links = sum(1 for i in range(300) for j in range(i + 1, 300) if brute(bags[i], bags[j]) <= 0.3)
+    made = epsjoin.candidates(boxes, boxes, 0.3, once=True)
+    assert made.count() < 20_000 and made.where("pos_b < 300").count() >= links
+
+
+def test_all_pairs_are_dealt_evenly(spark):
+    bags = random_bags(30, 13)
+    found = {(r.a, r.b): r.dist for r in epsjoin.all_pairs(bags_of(spark, bags)).collect()}
+    assert set(found) == {(i, j) for i in range(30) for j in range(i + 1, 30)} and all(d == pytest.approx(brute(bags[i], bags[j])) for (i, j), d in found.items())
+    assert "Cartesian" not in epsjoin.all_pairs(bags_of(spark, bags))._jdf.queryExecution().toString() and "NestedLoop" not in epsjoin.all_pairs(bags_of(spark, bags))._jdf.queryExecution().toString()
+
+
+def test_other_metrics_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setitem(V.METRICS, "first", lambda a, b, dims: F.abs(a[0][0] - b[0][0]))
+    bags = random_bags(20, 14)
+    found = {(r.a, r.b) for r in epsjoin.links(bags_of(spark, bags), 0.5, 2, "first").collect()}
+    assert found == {(i, j) for i in range(20) for j in range(i + 1, 20) if abs(bags[i][0][0] - bags[j][0][0]) <= 0.5}
+
+
 def test_ragged_instances_raise(spark):
     with pytest.raises(ValueError, match="dimensions"):
         epsjoin.dimensions(bags_of(spark, [[[1.0, 2.0]], [[1.0]]]))
@@ -193,6 +232,11 @@ def test_pca_and_tsne(spark):
     assert len(xy) == 35
     mean = [sum(v[k] for v in xy.values()) / 35 for k in (0, 1)]
     assert mean == pytest.approx([0, 0], abs=1e-9)
+    x = np.array([np.mean(r.instances, axis=0) for r in data.bags.orderBy("pos").collect()])
+    x = x - x.mean(axis=0)
+    _, _, v = np.linalg.svd(x, full_matrices=False)
+    v *= np.sign(v[range(2), np.abs(v).argmax(axis=1)])[:, None]
+    assert np.allclose([xy[r.bag_id] for r in data.bags.orderBy("pos").select("bag_id").collect()], x @ v.T)
     assert projection.tsne(data.bags, rounds=20).count() == 35
     model = cluster.fit(data.bags, 3.0, 2, "strict")
     assert projection.plot_table(data.bags, model.assignments).count() == 35
