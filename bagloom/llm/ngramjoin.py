@@ -14,10 +14,12 @@ documents link if their sets' Jaccard similarity reaches the threshold. The join
 2. Suspects. One entry for each fragment and group of the window is dealt out by the fragment. Only groups that
    share a fragment with another group go on; most documents end here. No pairs are made.
 3. Counting. The suspects' distinct sets are put in a second global order, rare n-grams first, by exact counts over
-   all suspects; n-grams of one suspect alone drop out. This order is cut into fragments by count (2-3, 4-7, ...).
+   all suspects; n-grams of one suspect alone drop out. This order is cut into fragments by count (2-3, 4-7, ...), so
+   a fragment tells how many suspects hold its n-grams.
 4. Candidates. Linked documents share one of the first few n-grams of this order (and have room for enough overlap
    after it). First each is paired with one pivot for each such n-gram, then, in the groups that are still
-   apart, with all of other groups; pairs within a group never need to be made.
+   apart, with all of other groups; pairs within a group never need to be made. An n-gram that many suspects hold
+   is dealt into parts, and what joins it is repeated for each, so no task gets all of its documents.
    Pairs with more differences than a linked pair can have are not made: n-grams of one suspect alone differ, and
    so do parity bits of sets with other n-grams (each bit says whether the n-grams that hash to it are odd in number).
 5. Verification. For each pair, the overlap is counted fragment by fragment, and summed.
@@ -44,8 +46,8 @@ from .common import LOWER_AZ, as_bytes, cached, keep, partitions, small, table,
 WINDOW, PIVOT_ROUNDS = 400_000, 2
 #: Sizes of fragments, from 0, that can be skipped.
 SKIPPED = 6
-#: Fragments of the second order: counts of 2-3, 4-7, ... and the last beyond.
-COUNT_FRAGMENTS = 8
+#: Fragments of the second order: counts of 2-3, 4-7, ... and the last beyond. Holders of an n-gram in one part.
+COUNT_FRAGMENTS, HOLDERS = 24, 512
 #: 64-bit words of parity bits of a set.
 PARITY_WORDS = 8
 _PARITY = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -417,19 +419,22 @@ def groups(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     ordered = keep(by_doc.mapInArrow(_ordered, "doc long, n long, own long, fragments array<array<long>>, " + ", ".join(f"{p} long" for p in _PARITY)), "ordered")
     # positions count from the n-grams that nobody shares: they come first in the order
     reach = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - F.col("own")
-    few = F.slice(F.flatten("fragments"), F.lit(1), F.greatest(F.lit(0), reach).cast("int"))
+    parts = F.array(*[F.lit(max(1, 2 ** (f + 1) // HOLDERS)) for f in range(COUNT_FRAGMENTS)])
+    marked = F.flatten(F.transform("fragments", lambda ngrams, f: F.transform(ngrams, lambda g: F.struct(g.alias("ngram"), F.get(parts, f).alias("parts")))))
+    few = F.slice(marked, F.lit(1), F.greatest(F.lit(0), reach).cast("int"))
     carried = ["doc", "n", "own", *_PARITY]
-    prefix = ordered.select(*carried, F.posexplode(few).alias("i", "ngram")).select(*carried, (F.col("own") + F.col("i")).alias("at"), "ngram")
-    carried += ["at", "ngram"]
+    prefix = ordered.select(*carried, F.posexplode(few).alias("i", "x")).select(*carried, (F.col("own") + F.col("i")).alias("at"), "x.ngram", "x.parts", F.pmod(F.xxhash64("doc"), F.col("x.parts")).cast("int").alias("part"))
+    carried += ["at", "ngram", "parts", "part"]
     prefix = prefix.join(keep(leads_of, "leads"), "doc", "left").withColumn("node", F.coalesce("lead", "doc"))
     prefix = keep(prefix.join(labels, "node", "left").select(*carried, F.coalesce("comp", "node").alias("comp")), "prefix")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(name)
     for turn in range(PIVOT_ROUNDS + 1):
-        mixed_up = prefix.groupBy("ngram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct(*[c for c in carried if c != "ngram"], "comp"), F.xxhash64("doc", F.lit(turn))).alias("pivot")).where("low < high")
+        mixed_up = prefix.groupBy("ngram", "parts").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct(*[c for c in carried if c not in ("ngram", "parts", "part")], "comp"), F.xxhash64("doc", F.lit(turn))).alias("pivot")).where("low < high")
         if turn < PIVOT_ROUNDS:
-            met = prefix.alias("x").join(mixed_up.select("ngram", "pivot.*").alias("y"), "ngram").where("x.comp <> y.comp")
+            met = prefix.alias("x").join(mixed_up.select("ngram", "pivot.*", each("part")).alias("y"), ["ngram", "part"]).where("x.comp <> y.comp")
         else:
-            apart = prefix.join(mixed_up.select("ngram"), "ngram", "left_semi")
-            met = apart.alias("x").join(apart.alias("y"), "ngram").where("x.comp < y.comp")
+            apart = prefix.join(mixed_up.select("ngram", each("part")), ["ngram", "part"], "left_semi")
+            met = apart.select("*", each("other")).alias("x").join(apart.withColumnRenamed("part", "other").select("*", each("part")).alias("y"), ["ngram", "part", "other"]).where("x.comp < y.comp")
         flip = F.col("x.doc") < F.col("y.doc")
         low, high = (lambda c: F.when(flip, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))), (lambda c: F.when(flip, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
         pairs = met.where(_can_link("x", "y", threshold)).select(low("doc").alias("a"), high("doc").alias("b"), low("comp").alias("ca"), high("comp").alias("cb")).distinct()

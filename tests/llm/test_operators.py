@@ -88,9 +88,10 @@ def near_copies(seed, groups=8, copies=12):
     return texts
 
 
-@pytest.mark.parametrize(("width", "threshold", "window"), [(3, 90, 600_000), (5, 80, 900)])
-def test_ngram_join(spark, monkeypatch, width, threshold, window):
+@pytest.mark.parametrize(("width", "threshold", "window", "holders"), [(3, 90, 600_000, 512), (5, 80, 900, 2)])
+def test_ngram_join(spark, monkeypatch, width, threshold, window, holders):
     monkeypatch.setattr(ngramjoin, "WINDOW", window)
+    monkeypatch.setattr(ngramjoin, "HOLDERS", holders)
     texts = near_copies(width)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.groups(docs_of(spark, texts).repartition(3), width, threshold).collect()}
     assert [found[i] for i in range(len(texts))] == jaccard_groups(texts, width, threshold)
@@ -132,6 +133,27 @@ def test_ngram_join_of_an_id_with_several_texts(spark, parts):
     assert found == {(10, 10), (20, 10), (30, 10), (40, 40), (50, 40), (60, 40), (70, 65), (65, 65), (80, 80)}
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_frequent_ngrams_are_dealt_into_parts(spark, monkeypatch, rounds):
+    """Texts made of a few common passages: all share frequent n-grams, some link."""
+    monkeypatch.setattr(ngramjoin, "HOLDERS", 4)
+    monkeypatch.setattr(ngramjoin, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(ngramjoin, "WINDOW", 500)
+    r = random.Random(6)
+    passages = [" ".join(words(20, f"passage{i}", 5000)) for i in range(9)]
+    texts = [" ".join(r.sample(passages, 5)) for _ in range(90)] + [" ".join(passages[:5]) + f" {i}" for i in range(20)]
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.groups(docs_of(spark, texts), 3, 90).collect()}
+    assert [found[i] for i in range(len(texts))] == jaccard_groups(texts, 3, 90)
+
+
+def test_a_very_long_text(spark):
+    long = words(120_000, "long", 10**7)
+    near = [*long[:60_000], "edited", *long[60_001:]]
+    texts = [" ".join(long), " ".join(near), " ".join(long[:30_000]), "x " * 100_000]
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in ngramjoin.groups(docs_of(spark, texts), 3, 90).collect()}
+    assert [found[i][1] for i in range(4)] == [0, 0, 2, 3] and found[3][0] == 1
+
+
 def test_representatives_stay_once(spark):
     rows = [(3, "a b c d", "x"), (3, "a b c d", "x"), (3, "a b c d", "w"), (3, "e f g h", "x"), (7, "A b c d", "x"), (9, " ", "x"), (9, " ", "x"), (3, "", "x"), (3, "", "x"), (None, "a b c d", "x"), (None, "a b c d", "x")]
     kept = ngramjoin.representatives(spark.createDataFrame(rows, "doc_id long, text string, n string"), 3, 90)
