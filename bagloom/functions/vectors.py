@@ -43,16 +43,6 @@ def hausdorff(a: Column, b: Column, dims: int | None = None) -> Column:
     return guarded(a, b, F.greatest(_directed(a, b, dims), _directed(b, a, dims)))
 
 
-def covered(a: Column, b: Column, reach: float, dims: int | None = None) -> Column:
-    """Whether every instance of a has one of b within reach; stops at the first that has none."""
-    return F.forall(a, lambda p: F.exists(b, lambda q: euclidean(p, q, dims) <= reach))
-
-
-def within(a: Column, b: Column, reach: float, dims: int | None = None) -> Column:
-    """Whether the Hausdorff distance of two bags is at most reach, without computing it."""
-    return covered(a, b, reach, dims) & covered(b, a, reach, dims)
-
-
 #: Distances of bags by name. Others can be added: functions of two bag columns and the number of dimensions.
 METRICS = {"hausdorff": hausdorff}
 

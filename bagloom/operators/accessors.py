@@ -59,7 +59,7 @@ def fits_type(value: Column, attr_type: str, domain: list[str] | None = None) ->
     if kind in ("integer", "int"):
         return F.coalesce(value.try_cast("long").isNotNull() & ~value.contains("."), F.lit(False))
     if kind in ("real", "numeric", "float", "double"):
-        return F.coalesce(value.try_cast("double").isNotNull(), F.lit(False))
+        return F.coalesce(value.try_cast("double").isNotNull() & ~value.rlike(r"[0-9.][fFdD]\s*$"), F.lit(False))  # Java reads 1F as a number
     if kind == "nominal":
         return F.coalesce(value.isin(*(domain or [])), F.lit(False))
     return value.isNotNull()

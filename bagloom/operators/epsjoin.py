@@ -124,7 +124,7 @@ def _cut(boxes: DataFrame, wide: float) -> tuple[list[str], str]:
 def near(left: DataFrame, right: DataFrame, eps: float, dims: int, metric: str = "hausdorff") -> DataFrame:
     """(pos_a, pos_b, dist) of all pairs of a left and a right bag with dist <= eps."""
     if metric.lower() != "hausdorff":
-        return _measured(_blocked(left, right), dims, metric).where(F.col("dist") <= eps)
+        return _measured(blocked(left, right), dims, metric).where(F.col("dist") <= eps)
     return _near(_boxed(left, dims, eps), _boxed(right, dims, eps), eps, dims)
 
 
@@ -248,7 +248,7 @@ def links(bags: DataFrame, eps: float, dims: int | None = None, metric: str = "h
     return found.select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "dist")
 
 
-def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
+def blocked(left: DataFrame, right: DataFrame) -> DataFrame:
     """(pos_a, pos_b, bag_a, bag_b) of all pairs of a left and a right bag.
 
     Both sides are dealt into blocks by a hash, and a task gets a pair of blocks, so the pairs of a join of equals are spread
@@ -263,5 +263,5 @@ def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
 def all_pairs(bags: DataFrame, dims: int | None = None, metric: str = "hausdorff") -> DataFrame:
     """(a, b, dist) with a < b of all pairs, as a distance matrix in long form; quadratic, for few bags."""
     dims = dims or dimensions(bags)
-    pairs = _blocked(bags, bags).where("pos_a < pos_b").select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "bag_a", "bag_b")
+    pairs = blocked(bags, bags).where("pos_a < pos_b").select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "bag_a", "bag_b")
     return _measured(pairs, dims, metric)

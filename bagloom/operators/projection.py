@@ -71,7 +71,7 @@ def tsne(bags: DataFrame, dims: int | None = None, perplexity: float = 30.0, see
             low, high = 1e-12, 1e12
             for _ in range(60):
                 beta = (low * high) ** 0.5
-                w = np.exp(-(square[i] - square[i][np.arange(n) != i].min()) * beta)
+                w = np.exp(np.minimum(0, -(square[i] - square[i][np.arange(n) != i].min()) * beta))
                 w[i] = 0
                 w /= w.sum()
                 entropy = -(w[w > 0] * np.log(w[w > 0])).sum()

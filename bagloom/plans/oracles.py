@@ -56,8 +56,9 @@ ALL = {
     "positive_bags": f"WITH {_I} SELECT pos FROM bags WHERE label = '1'",
     "negative_bags": f"WITH {_I} SELECT pos FROM bags WHERE label = '0'",
     "class_balance": f"WITH {_I} SELECT count(*) AS bags, CAST(sum(n) AS BIGINT) AS instances, count_if(label = '1') AS positive, count_if(label = '0') AS negative FROM bags",
-    "type_check": "SELECT o_orderkey, false AS is_integer, true AS is_real, o_orderstatus IN ('F', 'O') AS in_domain FROM orders",
-    "numeric_attrs": "SELECT * FROM (VALUES (0, 'x', true), (1, 'y', true)) AS t(idx, name, is_numeric)",
+    "type_check": "SELECT o_orderkey, regexp_full_match(v, '-?[0-9]+') AS is_integer, TRY_CAST(v AS DOUBLE) IS NOT NULL AS is_real, v IN ('F', 'O') AS in_domain FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) WHEN 2 THEN o_orderstatus ELSE '-' || o_orderkey || o_orderstatus END AS v FROM orders)",
+    "numeric_attrs": "SELECT CAST(cid AS INT) AS idx, name, k AS attr_type, k IN ('integer', 'real') AS is_numeric FROM (SELECT *, CASE WHEN type IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT') THEN 'integer' WHEN type IN ('FLOAT', 'DOUBLE') OR type LIKE 'DECIMAL%' THEN 'real' WHEN type = 'DATE' OR type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'string' END AS k FROM pragma_table_info('orders'))",
+    "nominal_attribute": "SELECT o_orderkey AS pos, round((o_totalprice - l) / CASE WHEN h = l THEN 1 ELSE h - l END, 6) AS price, CAST(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS DOUBLE) AS code, o_orderstatus AS status FROM orders, (SELECT min(o_totalprice) AS l, max(o_totalprice) AS h FROM orders)",
     "minmax_stats": f"{_VALUES} SELECT dim, round(low, 6) AS low, round(high, 6) AS high, round(CASE WHEN high = low THEN 1 ELSE high - low END, 6) AS range FROM t",
     "zscore_stats": f"{_VALUES} SELECT dim, round(mean, 6) AS mean, round(CASE WHEN high = low THEN 1 ELSE std END, 6) AS std FROM t",
     "minmax_scale": f"{_VALUES} SELECT pos, inst_idx, dim, round((v - low) / CASE WHEN high = low THEN 1 ELSE high - low END * 10, 6) AS v FROM v JOIN t USING (dim)",
@@ -68,6 +69,11 @@ ALL = {
     "instance_distance": f"WITH {_EMBEDDED} SELECT a, b, round(min(d), 6) AS least, round(max(d), 6) AS most FROM p GROUP BY a, b",
     "directed_hausdorff": f"WITH {_NATION} SELECT a, b, round(max(m), 6) AS dist FROM (SELECT x.pos a, y.pos b, x.r, min(abs(x.x - y.x)) m FROM n x JOIN n y ON x.pos <> y.pos GROUP BY 1, 2, 3) GROUP BY a, b",
     "hausdorff_pairs": f"WITH {_EMBEDDED} SELECT a, b, round(greatest(max(u), max(v)), 6) AS dist FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b",
+    "hausdorff_matrix": f"WITH {_NATION}, p AS MATERIALIZED (SELECT x.pos a, y.pos b, x.r ar, y.r br, abs(x.x - y.x) d FROM n x JOIN n y ON x.pos < y.pos) SELECT a, b, round(greatest(max(u), max(v)), 6) AS dist, round(greatest(max(u), max(v)), 6) AS by_columns FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b",
+    "synthetic_bags": """WITH h AS (SELECT pos, k, n, [CAST('0x' || substr(md5('42:' || s || ':' || pos || ':' || k), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE FOR s IN [1, 2, 5, 6]] AS u FROM
+ (SELECT pos, n, unnest(range(1, n + 1)) AS k FROM (SELECT pos, CAST('0x' || substr(md5('42:99:' || pos), 1, 12) AS BIGINT) % 3 + CASE WHEN pos >= 30 THEN 1 ELSE 2 END AS n FROM range(35) AS t(pos)))),
+v AS (SELECT pos, n, k, CASE WHEN pos >= 30 THEN u[1] * 100 - 50 ELSE c + sqrt(-2 * ln(1 - u[1])) * cos(2 * pi() * u[2]) END AS x, CASE WHEN pos >= 30 THEN u[3] * 100 - 50 ELSE c + sqrt(-2 * ln(1 - u[3])) * cos(2 * pi() * u[4]) END AS y FROM (SELECT *, CASE WHEN pos < 15 THEN 10 ELSE -10 END AS c FROM h))
+SELECT pos, 'bag_' || pos AS bag_id, CASE WHEN pos < 15 THEN '1' WHEN pos < 30 THEN '0' ELSE CAST(CAST('0x' || substr(md5('42:77:' || pos), 1, 12) AS BIGINT) % 2 AS VARCHAR) END AS label, count(*) AS n, round(sum(round(x, 2)), 2) AS x, round(sum(round(y, 2)), 2) AS y FROM v GROUP BY pos""",
     "customer_eps_neighbours": "WITH i AS MATERIALIZED (SELECT o_custkey AS pos, row_number() OVER () AS r, o_totalprice/100000 AS x FROM orders JOIN customer ON c_custkey = o_custkey), b AS MATERIALIZED (SELECT pos, min(x) AS l, max(x) AS h FROM i GROUP BY pos), p AS MATERIALIZED (SELECT x.pos a, y.pos b, i.r ar, j.r br, abs(i.x - j.x) d FROM b x JOIN b y ON x.pos < y.pos AND abs(x.l - y.l) <= 0.2004 AND abs(x.h - y.h) <= 0.2004 JOIN i ON i.pos = x.pos JOIN i j ON j.pos = y.pos) SELECT a, b, round(greatest(max(u), max(v)), 8) AS dist FROM (SELECT a, b, min(d) AS u, NULL AS v FROM p GROUP BY a, b, ar UNION ALL SELECT a, b, NULL, min(d) FROM p GROUP BY a, b, br) GROUP BY a, b HAVING greatest(max(u), max(v)) <= 0.2003",
     "order_eps_neighbours": f"WITH {_E} SELECT a, b, round(dist, 6) AS dist FROM e",
     "neighbour_count": f"{_FIT} SELECT pos, neighbours FROM k",
@@ -86,7 +92,7 @@ ALL = {
     "cluster_class_map": f"{_MAPPED} SELECT cluster_id, class_id FROM m",
     "confusion": f"{_MAPPED} SELECT tn, fp, fn, tp FROM q",
     "metrics": f"{_MAPPED} SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(specificity, 6) AS specificity FROM (SELECT {_RATIOS} FROM q)",
-    "interpretation": "SELECT 'over-segmented' AS many, 'excellent' AS two, 'under-segmented' AS one, 'all noise' AS \"none\", 'poor' AS bad",
+    "interpretation": "SELECT o_orderkey, CASE WHEN c = 2 AND f > 0.8 THEN 'excellent' WHEN c > 2 THEN 'over-segmented' WHEN c = 1 THEN 'under-segmented' WHEN c = 0 THEN 'all noise' ELSE 'poor' END AS says FROM (SELECT o_orderkey, o_custkey % 4 AS c, least(1, o_totalprice / 400000) AS f FROM orders)",
     "param_grid": f"WITH RECURSIVE {_E}, {_fitted(min_pts=2, eps=0.07, tag='g1')}, {_fitted(min_pts=3, eps=0.07, tag='g2')}, {_fitted(min_pts=2, tag='g3')}, {_fitted(min_pts=3, tag='g4')} {_GRID}",
     "bag_centroid": f"WITH {_I} SELECT pos, round(avg(x[1]), 6) AS v0, round(avg(x[2]), 6) AS v1, round(avg(x[3]), 6) AS v2 FROM i GROUP BY pos",
     "arff_roundtrip": "SELECT CAST(s_nationkey AS VARCHAR) AS bag_id, CAST(n_regionkey % 2 AS VARCHAR) AS label, count(*) AS n, round(sum(s_acctbal/1000), 6) AS total FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1, 2",

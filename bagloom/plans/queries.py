@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import accessors, cluster, epsjoin, evaluate, projection, sampling, scaling
+from ..operators import accessors, cluster, epsjoin, evaluate, largebags, projection, sampling, scaling
 from ..sources import adapters, arff, synthetic
 from ..storage import keep, shared_dir, table
 
@@ -21,6 +21,25 @@ def orders(spark, d: str) -> DataFrame:
     return adapters.order_bags(spark, d)
 
 
+#: Tables that several queries of one session need: bags, their links, models. Each is written once.
+_made: dict[tuple, object] = {}
+
+
+def _once(spark, d: str, name: str, make):
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def kept_orders(spark, d: str) -> DataFrame:
+    return _once(spark, d, "bags", lambda: keep(orders(spark, d), "bags"))
+
+
+def kept_links(spark, d: str) -> DataFrame:
+    return _once(spark, d, "links", lambda: keep(epsjoin.links(kept_orders(spark, d), EPS, DIMS), "links"))
+
+
 def by_dimension(bags: DataFrame) -> DataFrame:
     """pos, inst_idx, dim, v of all values, rounded."""
     return accessors.unnested(bags).select("pos", "inst_idx", F.posexplode("features").alias("dim", "v")).select("pos", "inst_idx", "dim", rounded("v"))
@@ -68,13 +87,25 @@ def class_balance(spark, d):
 
 
 def type_check(spark, d):
-    value = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    return table(spark, d, "orders").select("o_orderkey", accessors.fits_type(value, "integer").alias("is_integer"), accessors.fits_type(value, "real").alias("is_real"), accessors.fits_type(F.col("o_orderstatus"), "nominal", ["F", "O"]).alias("in_domain"))
+    """Texts of several kinds against types."""
+    value = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey").cast("string")).when(F.col("o_orderkey") % 4 == 1, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(F.col("o_orderkey") % 4 == 2, F.col("o_orderstatus")).otherwise(F.concat(F.lit("-"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus")))
+    return table(spark, d, "orders").select("o_orderkey", accessors.fits_type(value, "integer").alias("is_integer"), accessors.fits_type(value, "real").alias("is_real"), accessors.fits_type(value, "nominal", ["F", "O"]).alias("in_domain"))
 
 
 def numeric_attrs(spark, d):
-    data = synthetic.two_clouds(spark)
-    return data.attribute_table().select("idx", "name", F.col("attr_type").isin("real", "integer", "numeric", "float", "int").alias("is_numeric"))
+    """The columns of a table as attributes."""
+    rows = [(i, a.name, a.attr_type, a.is_numeric) for i, a in enumerate(arff.attributes_of(table(spark, d, "orders")))]
+    return spark.createDataFrame(rows, "idx int, name string, attr_type string, is_numeric boolean")
+
+
+def nominal_attribute(spark, d):
+    """Order statuses as a nominal attribute, coded by their place in the domain, decoded again, and left alone by a scaler."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.array(F.array(F.col("o_totalprice").cast("string"), "o_orderstatus")).alias("texts"))
+    kinds = [arff.Attribute("price", "real"), arff.Attribute("status", "nominal", ("F", "O", "P"))]
+    data = arff.Dataset("statuses", rows.select("pos", "texts", arff.instances_of(F.col("texts"), kinds).alias("instances")), kinds)
+    scaled = scaling.MinMax().fit_transform(data).bags
+    code = F.get(F.get("instances", 0), 1)
+    return scaled.select("pos", F.round(F.get(F.get("instances", 0), 0), 6).alias("price"), code.alias("code"), F.element_at(F.array(*[F.lit(v) for v in kinds[1].values]), (code + 1).cast("int")).alias("status"))
 
 
 def minmax_stats(spark, d):
@@ -118,20 +149,24 @@ def exact_split(spark, d):
 
 
 def instance_distance(spark, d):
-    bags = accessors.unnested(adapters.embedding_bags(spark, d)).select("pos", "features")
-    pairs = bags.alias("x").join(bags.alias("y"), F.col("x.pos") < F.col("y.pos"))
-    dist = V.euclidean(F.col("x.features"), F.col("y.features"))
-    return pairs.groupBy(F.col("x.pos").alias("a"), F.col("y.pos").alias("b")).agg(F.round(F.min(dist), 6).alias("least"), F.round(F.max(dist), 6).alias("most"))
+    found = largebags.extremes(adapters.embedding_rows(spark, d), 64)
+    return found.select("a", "b", rounded("least"), rounded("most"))
 
 
 def directed_hausdorff(spark, d):
-    bags = adapters.nation_bags(spark, d)
-    pairs = bags.alias("x").join(bags.alias("y"), F.col("x.pos") != F.col("y.pos"))
-    return pairs.select(F.col("x.pos").alias("a"), F.col("y.pos").alias("b"), F.round(V.directed_hausdorff(F.col("x.instances"), F.col("y.instances"), 1), 6).alias("dist"))
+    return largebags.directed(adapters.nation_rows(spark, d), 1).select("a", "b", rounded("dist"))
 
 
 def hausdorff_pairs(spark, d):
-    return epsjoin.all_pairs(adapters.embedding_bags(spark, d)).select("a", "b", rounded("dist"))
+    return largebags.hausdorff(adapters.embedding_rows(spark, d), 64).select("a", "b", rounded("dist"))
+
+
+def hausdorff_matrix(spark, d):
+    """All pairs of bags that fit a row each, and the same by columns."""
+    bags = adapters.nation_bags(spark, d)
+    found = epsjoin.all_pairs(bags, 1).select("a", "b", rounded("dist"))
+    x, y = (bags.select(F.col("pos").alias(n), F.col("instances").alias(f"{n}_bag")) for n in "ab")
+    return found.join(x, "a").join(y, "b").select("a", "b", "dist", F.round(V.hausdorff(F.col("a_bag"), F.col("b_bag"), 1), 6).alias("by_columns"))
 
 
 def customer_eps_neighbours(spark, d):
@@ -144,8 +179,7 @@ def order_eps_neighbours(spark, d):
 
 
 def neighbour_count(spark, d):
-    bags = orders(spark, d)
-    return cluster.neighbour_counts(bags, epsjoin.links(bags, EPS, DIMS))
+    return cluster.neighbour_counts(kept_orders(spark, d), kept_links(spark, d))
 
 
 def core_bags(spark, d):
@@ -153,7 +187,7 @@ def core_bags(spark, d):
 
 
 def _model(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> cluster.Model:
-    return cluster.fit(keep(orders(spark, d), "bags"), EPS, min_pts, mode, dims=DIMS)
+    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d)))
 
 
 def fit_strict(spark, d):
@@ -190,9 +224,11 @@ def model_stats(spark, d):
 
 
 def _split_model(spark, d):
-    train, test = sampling.hash_split(keep(orders(spark, d), "bags"), PERCENT, SEED)
-    train, test = keep(train, "train"), keep(test, "test")
-    return cluster.fit(train, EPS, MIN_PTS, "strict", dims=DIMS), test
+    def made():
+        train, test = (keep(part, name) for part, name in zip(sampling.hash_split(kept_orders(spark, d), PERCENT, SEED), ("train", "test"), strict=True))
+        return cluster.fit(train, EPS, MIN_PTS, "strict", dims=DIMS), test
+
+    return _once(spark, d, "split", made)
 
 
 def predict(spark, d):
@@ -206,8 +242,8 @@ def nearest_core(spark, d):
 
 
 def fit_predict(spark, d):
-    bags = keep(orders(spark, d), "bags")
-    return cluster.fit(bags, EPS, MIN_PTS, "compat" if MIN_PTS <= 2 else "strict", dims=DIMS).predict(bags).select("pos", "cluster_id")
+    bags = kept_orders(spark, d)
+    return _model(spark, d).predict(bags).select("pos", "cluster_id")
 
 
 def predict_noise_rate(spark, d):
@@ -216,8 +252,7 @@ def predict_noise_rate(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    bags = keep(orders(spark, d), "bags")
-    return evaluate.labelled(cluster.fit(bags, EPS, MIN_PTS, "strict", dims=DIMS).assignments, bags)
+    return evaluate.labelled(_model(spark, d).assignments, kept_orders(spark, d))
 
 
 def cluster_class_map(spark, d):
@@ -233,14 +268,14 @@ def metrics(spark, d):
 
 
 def interpretation(spark, d):
-    found = evaluate.metrics(_labelled(spark, d)).select("f1")
-    return found.select(evaluate.interpretation(F.lit(5), F.col("f1")).alias("many"), evaluate.interpretation(F.lit(2), F.lit(0.9)).alias("two"), evaluate.interpretation(F.lit(1), F.col("f1")).alias("one"), evaluate.interpretation(F.lit(0), F.col("f1")).alias("none"), evaluate.interpretation(F.lit(2), F.lit(0.1)).alias("bad"))
+    """What numbers of clusters and F1 values say; customers and prices stand for both."""
+    clusters, f1 = F.col("o_custkey") % 4, F.least(F.lit(1.0), F.col("o_totalprice") / 400000)
+    return table(spark, d, "orders").select("o_orderkey", evaluate.interpretation(clusters, f1).alias("says"))
 
 
 def param_grid(spark, d):
     """Clusters and noise for each eps and min_pts; links are computed once."""
-    bags = keep(orders(spark, d), "bags")
-    links = keep(epsjoin.links(bags, EPS, DIMS), "links")
+    bags, links = kept_orders(spark, d), kept_links(spark, d)
     rows = []
     for eps in (0.07, EPS):
         for min_pts in (2, 3):
@@ -269,13 +304,15 @@ def arff_roundtrip(spark, d):
 
 
 def synthetic_bags(spark, d):
-    return synthetic.two_clouds(spark).bags.select("pos", "bag_id", "label", F.size("instances").cast("long").alias("n"))
+    bags = synthetic.two_clouds(spark).bags
+    total = lambda k: F.round(F.aggregate("instances", F.lit(0.0), lambda s, p: s + p[k]), 2)
+    return bags.select("pos", "bag_id", "label", F.size("instances").cast("long").alias("n"), total(0).alias("x"), total(1).alias("y"))
 
 
 ALL = [
     bag_build, bag_size, bag_unnest, feature_get, feature_set, label_list, label_cast, positive_bags, negative_bags, class_balance,
-    type_check, numeric_attrs, minmax_stats, zscore_stats, minmax_scale, minmax_inverse, zscore_scale, zscore_inverse, hash_split, exact_split,
-    instance_distance, directed_hausdorff, hausdorff_pairs, customer_eps_neighbours, order_eps_neighbours, neighbour_count, core_bags,
+    type_check, numeric_attrs, nominal_attribute, minmax_stats, zscore_stats, minmax_scale, minmax_inverse, zscore_scale, zscore_inverse, hash_split, exact_split,
+    instance_distance, directed_hausdorff, hausdorff_pairs, hausdorff_matrix, customer_eps_neighbours, order_eps_neighbours, neighbour_count, core_bags,
     fit_strict, fit_compat, fit_compat_ordered, cluster_sizes, noise_bags, cluster_members, distinct_clusters, model_stats, predict, nearest_core,
     fit_predict, predict_noise_rate, cluster_class_map, confusion, metrics, interpretation, param_grid, bag_centroid, pca_coords, arff_roundtrip, synthetic_bags,
 ]

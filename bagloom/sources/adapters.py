@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..storage import table
 
 
-def bags_of(rows: DataFrame, key: str, vector: list[Column], label: Column | None = None, dims_order: list[str] | None = None) -> DataFrame:
+def bags_of(rows: DataFrame, key: str, vector: list[Column], label: Column | None = None) -> DataFrame:
     """Canonical bags (pos, bag_id, label, instances). Instances are sorted by their values, so a bag is a function of its rows alone; groups are aggregated before the shuffle only in part, so a bag must fit a task."""
     made = rows.select(F.col(key).cast("long").alias("pos"), F.array(*[v.cast("double") for v in vector]).alias("p"), (F.lit(None).cast("string") if label is None else label.cast("string")).alias("label"))
     return made.groupBy("pos").agg(F.max("label").alias("label"), F.sort_array(F.collect_list("p")).alias("instances")).select("pos", F.col("pos").cast("string").alias("bag_id"), "label", "instances")
@@ -38,14 +38,12 @@ def nation_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.join(region, "pos").select("pos", "bag_id", "label", "instances")
 
 
-def embedding_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as bags of embeddings; odd labels are positive."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("p"))
-    return rows.groupBy("pos").agg(F.sort_array(F.collect_list("p")).alias("instances")).select("pos", F.col("pos").cast("string").alias("bag_id"), (F.col("pos") % 2).cast("string").alias("label"), "instances")
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, features): labels as bags of embeddings, a row for each instance, since a label may have any number."""
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("features"))
 
 
-def user_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as bags of purchases (value, hour of day); odd users are positive."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'")
-    bags = bags_of(rows, "user_id", [F.col("value") / 10, F.hour("ts")])
-    return bags.withColumn("label", (F.col("pos") % 2).cast("string"))
+def nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, features): nations as bags of their suppliers' balances, a row for each instance."""
+    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("pos"), F.array((F.col("s_acctbal") / 1000).cast("double")).alias("features")).join(known, "pos")

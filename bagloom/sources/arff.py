@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import put
 from ..operators.ranking import with_rank
@@ -118,6 +119,12 @@ class Dataset:
         return f"Dataset({self.name!r}, {len(self.attributes)} attributes)"
 
 
+def attributes_of(df: DataFrame) -> list[Attribute]:
+    """The columns of a table as attributes: whole numbers are integer, other numbers real, dates and times date, all else string."""
+    kind = lambda t: "integer" if isinstance(t, T.IntegralType) else "real" if isinstance(t, T.NumericType) else "date" if isinstance(t, (T.DateType, T.DatetimeType)) else "string"
+    return [Attribute(f.name, kind(f.dataType)) for f in df.schema]
+
+
 def attribute_of(line: str) -> tuple[str, Attribute] | None:
     """The name and descriptor of an attribute line; None if it says nothing of use."""
     m = re.match(r"""@attribute\s+("[^"]*"|'[^']*'|\S+)\s+(.+?)\s*$""", line.strip(), re.I)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagloom.functions import vectors as V
-from bagloom.operators import accessors, cluster, epsjoin, evaluate, projection, sampling, scaling
+from bagloom.operators import accessors, cluster, epsjoin, evaluate, largebags, projection, sampling, scaling
 from bagloom.sources import synthetic
 
 BAGS = "pos long, bag_id string, label string, instances array<array<double>>"
@@ -100,6 +100,29 @@ def test_all_pairs_are_dealt_evenly(spark):
     assert "Cartesian" not in epsjoin.all_pairs(bags_of(spark, bags))._jdf.queryExecution().toString() and "NestedLoop" not in epsjoin.all_pairs(bags_of(spark, bags))._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("part", [3, 512])
+def test_bags_in_parts(spark, monkeypatch, part):
+    """One bag holds most instances; parts give what whole bags give; NaN counts."""
+    monkeypatch.setattr(largebags, "PART", part)
+    monkeypatch.setattr(largebags, "CELLS", 16)
+    bags = [b * 1 for b in random_bags(6, 15)] + [[p for b in random_bags(30, 16) for p in b], [[1.0, float("nan")], [2.0, 2.0]]]
+    rows = spark.createDataFrame([(i, p) for i, b in enumerate(bags) for p in b], "pos long, features array<double>")
+    directed = {(r.a, r.b): r.dist for r in largebags.directed(rows, 2).collect()}
+    whole = {(r.a, r.b): r.dist for r in largebags.hausdorff(rows, 2).collect()}
+    ends = {(r.a, r.b): (r.least, r.most) for r in largebags.extremes(rows, 2).where("b < 7").collect()}
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            if i == j:
+                continue
+            if 7 in (i, j):
+                assert math.isnan(directed[i, j]) and math.isnan(whole[min(i, j), max(i, j)])
+                continue
+            assert directed[i, j] == pytest.approx(max(min(math.dist(p, q) for q in b) for p in a))
+            if i < j:
+                every = [math.dist(p, q) for p in a for q in b]
+                assert whole[i, j] == pytest.approx(brute(a, b)) and ends[i, j] == pytest.approx((min(every), max(every)))
+
+
 def test_other_metrics_compare_all_pairs(spark, monkeypatch):
     monkeypatch.setitem(V.METRICS, "first", lambda a, b, dims: F.abs(a[0][0] - b[0][0]))
     bags = random_bags(20, 14)
