@@ -49,6 +49,15 @@ ALL = {
     "bag_build": f"WITH {_I} SELECT bags.pos, bag_id, bags.label, n, t AS total FROM bags JOIN (SELECT pos, round(sum(x[1] + x[2] + x[3]), 6) AS t FROM i GROUP BY pos) USING (pos)",
     "bag_size": "SELECT l_orderkey AS pos, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "bag_unnest": f"WITH {_I} SELECT pos, r AS inst_idx, round(x[1], 6) AS v0, round(x[2], 6) AS v1, round(x[3], 6) AS v2 FROM i",
+    "bag_at": f"WITH {_I} SELECT pos, bag_id, label, n FROM bags WHERE pos = 5",
+    "bag_first_instance": f"WITH {_I} SELECT pos, round(x[1], 6) AS v0, round(x[2], 6) AS v1, round(x[3], 6) AS v2 FROM i WHERE r = 0",
+    "bag_append": f"WITH {_I} SELECT pos, count(*) + 1 AS n, round(avg(x[1]), 6) AS last FROM i GROUP BY pos",
+    "bag_contains": f"WITH {_I} SELECT pos, bool_or(x = [0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE]) AS holds FROM i GROUP BY pos",
+    "bag_matrix": f"WITH {_I} SELECT pos, count(*) AS instances, CAST(max(len(x)) AS BIGINT) AS attributes FROM i GROUP BY pos",
+    "bag_relabel": f"WITH {_I} SELECT pos, bag_id, CASE WHEN label = '1' THEN 'neg' ELSE 'pos' END AS label FROM bags",
+    "instance_weight": f"WITH {_I} SELECT pos, CAST(sum(CASE WHEN label = '1' THEN 2 ELSE 1 END) AS DOUBLE) AS weight FROM i GROUP BY pos",
+    "bag_renumber": f"WITH {_I} SELECT pos, row_number() OVER (ORDER BY md5(bag_id || ':42'), bag_id) - 1 AS place FROM bags",
+    "dataset_contains": f"WITH {_I} SELECT v AS bag_id, v IN (SELECT bag_id FROM bags) AS holds FROM (VALUES ('1'), ('5'), ('-3'), ('x')) AS t(v)",
     "feature_get": f"WITH {_I} SELECT pos, r AS inst_idx, round(x[3], 6) AS value FROM i",
     "feature_set": f"WITH {_I} SELECT pos, r AS inst_idx, round(x[1], 6) AS v0, CAST(0.5 AS DOUBLE) AS v1, round(x[3], 6) AS v2 FROM i",
     "label_list": f"WITH {_I} SELECT pos, label FROM bags",

@@ -57,6 +57,53 @@ def bag_unnest(spark, d):
     return accessors.unnested(orders(spark, d)).select("pos", "inst_idx", *[F.round(F.get("features", k), 6).alias(f"v{k}") for k in range(DIMS)])
 
 
+def bag_at(spark, d):
+    """The bag in one place."""
+    return accessors.bag_at(orders(spark, d), 5).select("pos", "bag_id", "label", F.size("instances").cast("long").alias("n"))
+
+
+def bag_first_instance(spark, d):
+    first = accessors.instance_at(F.col("instances"), 0)
+    return orders(spark, d).select("pos", *[F.round(F.get(first, k), 6).alias(f"v{k}") for k in range(DIMS)])
+
+
+def bag_append(spark, d):
+    """Each bag with one more instance, its own mean."""
+    more = accessors.appended(F.col("instances"), V.centroid(F.col("instances"), DIMS))
+    return orders(spark, d).select("pos", F.size(more).cast("long").alias("n"), F.round(F.get(F.element_at(more, -1), 0), 6).alias("last"))
+
+
+def bag_contains(spark, d):
+    """Which bags hold the instance (0.5, 0, 0.5)."""
+    return orders(spark, d).select("pos", accessors.contains(F.col("instances"), F.array(F.lit(0.5), F.lit(0.0), F.lit(0.5))).alias("holds"))
+
+
+def bag_matrix(spark, d):
+    """Rows and columns of each bag's matrix."""
+    return orders(spark, d).select("pos", F.size("instances").cast("long").alias("instances"), F.size(F.get("instances", 0)).cast("long").alias("attributes"))
+
+
+def bag_relabel(spark, d):
+    return accessors.relabelled(orders(spark, d), F.when(F.col("label") == "1", "neg").otherwise("pos")).select("pos", "bag_id", "label")
+
+
+def instance_weight(spark, d):
+    """Instances weigh one, those of positive bags two; the weight of each bag."""
+    weighted = accessors.with_weight(accessors.unnested(orders(spark, d)), F.when(F.col("label") == "1", 2.0).otherwise(1.0))
+    return weighted.groupBy("pos").agg(F.sum("weight").alias("weight"))
+
+
+def bag_renumber(spark, d):
+    """Places in the order of a hash of the id."""
+    return sampling.hash_ranked(orders(spark, d), SEED).select("pos", "place")
+
+
+def dataset_contains(spark, d):
+    """Whether a dataset holds bags of given ids."""
+    data = arff.Dataset("orders", kept_orders(spark, d), [])
+    return spark.createDataFrame([(i, i in data) for i in ("1", "5", "-3", "x")], "bag_id string, holds boolean")
+
+
 def feature_get(spark, d):
     return accessors.unnested(orders(spark, d)).select("pos", "inst_idx", F.round(accessors.value_at(F.col("features"), -1), 6).alias("value"))
 
@@ -310,7 +357,7 @@ def synthetic_bags(spark, d):
 
 
 ALL = [
-    bag_build, bag_size, bag_unnest, feature_get, feature_set, label_list, label_cast, positive_bags, negative_bags, class_balance,
+    bag_build, bag_size, bag_unnest, bag_at, bag_first_instance, bag_append, bag_contains, bag_matrix, bag_relabel, instance_weight, bag_renumber, dataset_contains, feature_get, feature_set, label_list, label_cast, positive_bags, negative_bags, class_balance,
     type_check, numeric_attrs, nominal_attribute, minmax_stats, zscore_stats, minmax_scale, minmax_inverse, zscore_scale, zscore_inverse, hash_split, exact_split,
     instance_distance, directed_hausdorff, hausdorff_pairs, hausdorff_matrix, customer_eps_neighbours, order_eps_neighbours, neighbour_count, core_bags,
     fit_strict, fit_compat, fit_compat_ordered, cluster_sizes, noise_bags, cluster_members, distinct_clusters, model_stats, predict, nearest_core,

@@ -243,6 +243,12 @@ def test_accessors(spark):
     r = bags.select(accessors.instance_at(F.col("instances"), 1).alias("i"), V.put(F.col("instances")[0], 0, F.lit(9.0)).alias("p"), accessors.contains(F.col("instances"), F.array(F.lit(3.0), F.lit(4.0))).alias("c"), F.size(accessors.appended(F.col("instances"), F.array(F.lit(0.0), F.lit(0.0)))).alias("n")).first()
     assert (r.i, r.p, r.c, r.n) == ([3.0, 4.0], [9.0, 2.0], True, 3)
     assert accessors.positive(bags).count() == 1 and accessors.negative(bags).count() == 0
+    assert accessors.bag_at(bags, 0).first().bag_id == "b0" and accessors.bag_at(bags, 1).isEmpty()
+    with pytest.raises(IndexError):
+        accessors.bag_at(bags, -1)
+    assert accessors.relabelled(bags, F.lit(0)).first().label == "0"
+    assert [r.weight for r in accessors.with_weight(accessors.unnested(bags)).collect()] == [1.0, 1.0]
+    assert [r.weight for r in accessors.with_weight(accessors.unnested(bags), F.get("features", 0)).collect()] == [1.0, 3.0]
     with pytest.raises(Exception, match="out of range"):
         bags.select(accessors.instance_at(F.col("instances"), -1)).collect()
     with pytest.raises(Exception, match="out of range"):
