@@ -164,28 +164,28 @@ def zscore_stats(spark, d):
 
 
 def minmax_scale(spark, d):
-    bags = orders(spark, d)
+    bags = kept_orders(spark, d)
     return by_dimension(scaling.MinMax(low=0.0, high=10.0).fit_transform(bags))
 
 
 def minmax_inverse(spark, d):
-    bags = orders(spark, d)
+    bags = kept_orders(spark, d)
     scaler = scaling.MinMax(low=0.0, high=10.0).fit(bags)
     return by_dimension(scaler.inverse(scaler.transform(bags)))
 
 
 def zscore_scale(spark, d):
-    return by_dimension(scaling.ZScore().fit_transform(orders(spark, d)))
+    return by_dimension(scaling.ZScore().fit_transform(kept_orders(spark, d)))
 
 
 def zscore_inverse(spark, d):
-    bags = orders(spark, d)
+    bags = kept_orders(spark, d)
     scaler = scaling.ZScore().fit(bags)
     return by_dimension(scaler.inverse(scaler.transform(bags)))
 
 
 def hash_split(spark, d):
-    train, test = sampling.hash_split(orders(spark, d), PERCENT, SEED)
+    train, test = sampling.hash_split(kept_orders(spark, d), PERCENT, SEED)
     return train.select("pos", F.lit("train").alias("part")).union(test.select("pos", F.lit("test")))
 
 
@@ -336,7 +336,7 @@ def bag_centroid(spark, d):
 
 
 def pca_coords(spark, d):
-    return projection.pca(orders(spark, d), DIMS).select("pos", rounded("x"), rounded("y"))
+    return projection.pca(kept_orders(spark, d), DIMS).select("pos", rounded("x"), rounded("y"))
 
 
 def arff_roundtrip(spark, d):
