@@ -26,7 +26,7 @@ WORDS = {"excellent": "EXCELENTE", "over-segmented": "Sobre segmentado.", "under
 
 
 def _scores(found: DataFrame, names: tuple[str, ...]) -> tuple[float, ...]:
-    q = evaluate.metrics(found).first()
+    q = evaluate.metrics(keep(found, "judged")).first()  # read for the class map and for the counts
     return tuple(round(q[c], 4) for c in names)
 
 
@@ -134,7 +134,7 @@ def run(spark: SparkSession, path: str, eps: float = 900.0, min_pts: int = 2, pe
     model = cluster.fit(train, eps, min_pts, mode, dims=len(data.attributes))
     s = model.statistics().first()
     log.info("%r: %d training bags, %d cores, %d noise", model, s.total, s.cores, s.noise)
-    out = {"model": model, "train": evaluate.labelled(model.assignments, train), "test": None, "plot": None}
+    out = {"model": model, "train": keep(evaluate.labelled(model.assignments, train), "judged"), "test": None, "plot": None}
     log.info("training bags\n%s", evaluate.report(out["train"]))
     try:
         out["plot"] = keep(projection.plot_table(train, model.assignments, method), "plot")
@@ -143,7 +143,7 @@ def run(spark: SparkSession, path: str, eps: float = 900.0, min_pts: int = 2, pe
     if test.isEmpty():
         log.warning("no test bags")
         return out
-    out["test"] = evaluate.labelled(model.predict(test), test)
+    out["test"] = keep(evaluate.labelled(model.predict(test), test), "judged")
     log.info("test bags\n%s", evaluate.report(out["test"]))
     return out
 
