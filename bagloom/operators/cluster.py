@@ -7,7 +7,7 @@ Two bags are neighbours within eps (inclusive); a bag counts itself. It is core
 - compat: every unvisited bag in order of position seeds a cluster, core or not, and takes all unvisited bags that
   it reaches through cores; so training labels hold no noise and lone bags are clusters of their own.
 
-strict, and compat up to min_pts 2 (where it is the connected components), run as joins. compat from 3 depends on the
+All pairs are of classes of copies (`copies`), weighted by their sizes. strict, and compat up to min_pts 2 (where it is the connected components), run as joins. compat from 3 depends on the
 order of bags, but never crosses a component: each component is scanned by one task (the quirk cannot be split
 further, so a component must fit a task; strict has no such bound)."""
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..storage import keep
-from . import epsjoin
+from . import copies, epsjoin
 from .components import components
+from .copies import Classes
 from .ranking import with_rank
 
 NOISE = -1
@@ -31,7 +32,8 @@ MODES = ("compat", "strict")
 
 @dataclass
 class Model:
-    """What a fit gives: `assignments` (pos, bag_id, cluster_id, is_core) and `cores` (pos, bag_id, cluster_id, instances)."""
+    """What a fit gives: `assignments` (pos, bag_id, cluster_id, is_core), `cores` (pos, bag_id, cluster_id, instances), and
+    the same by classes of copies: `groups` (pos, n, cluster_id, is_core) and `core_groups` (pos, cluster_id, instances)."""
 
     eps: float
     min_pts: int
@@ -41,6 +43,8 @@ class Model:
     cluster_count: int
     assignments: DataFrame
     cores: DataFrame
+    groups: DataFrame
+    core_groups: DataFrame
     noise_label: int = NOISE
     is_fitted: bool = True
 
@@ -49,7 +53,7 @@ class Model:
         return self.assignments.select("bag_id", "cluster_id")
 
     def sizes(self) -> DataFrame:
-        return self.assignments.groupBy("cluster_id").agg(F.count("*").alias("n"))
+        return self.groups.groupBy("cluster_id").agg(F.sum("n").alias("n"))
 
     def noise(self) -> DataFrame:
         return self.members(NOISE)
@@ -58,21 +62,30 @@ class Model:
         return self.assignments.where(F.col("cluster_id") == cluster_id).select("pos", "bag_id")
 
     def statistics(self) -> DataFrame:
-        noise = F.count_if(F.col("cluster_id") == NOISE)
-        return self.assignments.agg(F.lit(self.eps).alias("eps"), F.lit(self.min_pts).alias("min_pts"), F.count("*").alias("total"), F.lit(self.cluster_count).cast("long").alias("clusters"), F.count_if("is_core").alias("cores"), noise.alias("noise"), F.coalesce(F.try_divide(noise * 100.0, F.count("*")), F.lit(0.0)).alias("noise_pct"))
+        count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+        total, noise = F.coalesce(F.sum("n"), F.lit(0)), count(F.col("cluster_id") == NOISE)
+        return self.groups.agg(F.lit(self.eps).alias("eps"), F.lit(self.min_pts).alias("min_pts"), total.alias("total"), F.lit(self.cluster_count).cast("long").alias("clusters"), count(F.col("is_core")).alias("cores"), noise.alias("noise"), F.coalesce(F.try_divide(noise * 100.0, total), F.lit(0.0)).alias("noise_pct"))
 
-    def predict(self, bags: DataFrame) -> DataFrame:
-        """(pos, bag_id, cluster_id): that of the nearest core within eps, the lesser id at equal distance, else -1."""
+    def predict(self, bags: DataFrame, classes: Classes | None = None) -> DataFrame:
+        """(pos, bag_id, cluster_id): that of the nearest core within eps, the lesser id at equal distance, else -1. classes: those of the bags, if at hand."""
         if bags.isEmpty():
             raise ValueError("no bags to predict")
-        return predict(bags, self.cores, self.eps, self.dims, self.metric)
-
-    def predict_fitted(self, bags: DataFrame, links: DataFrame) -> DataFrame:
-        """As `predict`, of the bags that were fitted, by their links (a, b, dist); a core bag's own distance is 0."""
-        own = self.cores.select(F.col("pos").alias("pos_a"), F.col("pos").alias("pos_b"), F.lit(0.0).alias("dist"))
+        if self.metric != "hausdorff" or not self.dims:
+            return predict(bags, self.cores, self.eps, self.dims, self.metric)
+        classes = classes or copies.classes(bags)
+        return nearest(classes.members, self.near(classes), self.core_groups, "rep")
+
+    def near(self, classes: Classes) -> DataFrame:
+        """(pos_a, pos_b, dist) of classes of other bags and of cores within eps."""
+        return epsjoin.near(classes.reps, self.core_groups, self.eps, self.dims)
+
+    def predict_fitted(self, bags: DataFrame, links: DataFrame, classes: Classes | None = None) -> DataFrame:
+        """As `predict`, of the bags that were fitted, by their links (a, b, dist), or those of their classes if given; a core bag's own distance is 0."""
+        known = self.assignments.where("is_core") if classes is None else self.core_groups
+        own = known.select(F.col("pos").alias("pos_a"), F.col("pos").alias("pos_b"), F.lit(0.0).alias("dist"))
         near = links.where(F.col("dist") <= self.eps)
         both = near.select("a", "b", "dist").union(near.select("b", "a", "dist")).toDF("pos_a", "pos_b", "dist").union(own)
-        return nearest(bags, both, self.assignments.where("is_core"))
+        return nearest(bags, both, known) if classes is None else nearest(classes.members, both, known, "rep")
 
     def __repr__(self) -> str:
         return f"Model(eps={self.eps}, min_pts={self.min_pts}, mode={self.mode}, clusters={self.cluster_count})"
@@ -83,17 +96,21 @@ def predict(bags: DataFrame, cores: DataFrame, eps: float, dims: int, metric: st
     return nearest(bags, near, cores)
 
 
-def nearest(bags: DataFrame, near: DataFrame, cores: DataFrame) -> DataFrame:
-    """(pos, bag_id, cluster_id) of bags, by their distances (pos_a, pos_b, dist) to cores."""
+def nearest(bags: DataFrame, near: DataFrame, cores: DataFrame, by: str = "pos") -> DataFrame:
+    """(pos, bag_id, cluster_id) of bags, by the distances (pos_a, pos_b, dist) of what column `by` names to cores."""
     known = cores.select(F.col("pos").alias("pos_b"), "cluster_id")
-    best = near.join(known, "pos_b").groupBy("pos_a").agg(F.min_by("cluster_id", F.struct("dist", "cluster_id")).alias("cluster_id"))
-    return bags.select("pos", "bag_id").join(best.withColumnRenamed("pos_a", "pos"), "pos", "left").select("pos", "bag_id", F.coalesce("cluster_id", F.lit(NOISE)).cast("int").alias("cluster_id"))
+    best = near.join(known, "pos_b").groupBy("pos_a").agg(F.min(F.struct("dist", "cluster_id")).alias("best"))
+    found = best.select(F.col("pos_a").alias("_by"), F.col("best.cluster_id").alias("cluster_id"))
+    return bags.select("pos", "bag_id", F.col(by).alias("_by")).join(found, "_by", "left").select("pos", "bag_id", F.coalesce("cluster_id", F.lit(NOISE)).cast("int").alias("cluster_id"))
 
 
 def neighbour_counts(bags: DataFrame, links: DataFrame) -> DataFrame:
-    """(pos, neighbours), each counting itself."""
-    ends = links.select(F.col("a").alias("pos")).union(links.select("b"))
-    return bags.select("pos").join(ends.groupBy("pos").agg(F.count("*").alias("n")), "pos", "left").select("pos", (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("neighbours"))
+    """(pos, neighbours), each counting itself; rows of classes count `n`, if there is such a column."""
+    size = F.col("n") if "n" in bags.columns else F.lit(1)
+    sized = bags.select("pos", size.cast("long").alias("n"))
+    ends = links.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(links.select("b", "a"))
+    others = ends.join(sized.withColumnsRenamed({"pos": "other", "n": "others"}), "other").groupBy("pos").agg(F.sum("others").alias("others"))
+    return sized.join(others, "pos", "left").select("pos", (F.coalesce("others", F.lit(0)) + F.col("n")).alias("neighbours"))
 
 
 def _numbered(seeded: DataFrame) -> tuple[DataFrame, int]:
@@ -103,11 +120,13 @@ def _numbered(seeded: DataFrame) -> tuple[DataFrame, int]:
     return seeded.join(seeds, "seed", "left").drop("seed").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE))), seeds.count()
 
 
-def _scanned(min_pts: int):
-    """The order-dependent scan of one component: its bags with their neighbours among each other."""
+def _scanned():
+    """The order-dependent scan of one component: its classes with their neighbours among each other. A class is reached as a
+    whole, since what reaches one member is a neighbour of all, and a seed takes its own copies first."""
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
+        core = set(group["pos"][group["is_core"]].tolist())
         for a, b in zip(group["pos"].tolist(), group["other"].tolist(), strict=True):
             near.setdefault(a, [a])
             if b != a:
@@ -119,7 +138,7 @@ def _scanned(min_pts: int):
             seed_of[seed] = seed
             reached = [seed]
             for at in reached:
-                if at == seed or len(near[at]) >= min_pts:
+                if at == seed or at in core:
                     new = [b for b in near[at] if b not in seed_of]
                     seed_of.update(dict.fromkeys(new, seed))
                     reached += new
@@ -128,8 +147,8 @@ def _scanned(min_pts: int):
     return scan
 
 
-def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff", dims: int | None = None, links: DataFrame | None = None) -> Model:
-    """Clusters bags (pos, bag_id, label, instances). links: pairs (a, b, dist) already at hand, at this eps or a larger one."""
+def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff", dims: int | None = None, links: DataFrame | None = None, classes: Classes | None = None) -> Model:
+    """Clusters bags (pos, bag_id, label, instances). classes: those of the bags, if at hand. links: pairs (a, b, dist) already at hand, at this eps or a larger one, of classes if these are given, else of bags."""
     if not eps > 0:
         raise ValueError("eps must be positive")
     if min_pts < 1:
@@ -140,9 +159,14 @@ def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric:
     if bags.isEmpty():
         raise ValueError("no bags to fit")
     dims = dims or epsjoin.dimensions(bags)
-    edges = keep((epsjoin.links(bags, eps, dims, metric) if links is None else links.where(F.col("dist") <= eps)).select("a", "b"), "edges")
-    counted = neighbour_counts(bags, edges).withColumn("is_core", F.col("neighbours") >= min_pts)
-    counted = keep(bags.select("pos", "bag_id").join(counted, "pos"), "counted")
+    if links is None:
+        if classes is None and metric.lower() == "hausdorff":
+            classes = copies.classes(bags)
+        links = epsjoin.links(classes.reps if classes else bags, eps, dims, metric)
+    nodes = classes.reps if classes else bags.select("pos", F.lit(1).cast("long").alias("n"), "instances")
+    edges = keep(links.where(F.col("dist") <= eps).select("a", "b"), "edges")
+    counted = neighbour_counts(nodes, edges).withColumn("is_core", F.col("neighbours") >= min_pts)
+    counted = keep(nodes.select("pos", "n").join(counted, "pos"), "counted")
     core = counted.where("is_core").select("pos")
     if mode == "strict":
         between = edges.join(core.withColumnRenamed("pos", "a"), "a", "left_semi").join(core.withColumnRenamed("pos", "b"), "b", "left_semi")
@@ -156,13 +180,20 @@ def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric:
         placed = counted.join(joined, "pos", "left").withColumn("seed", F.coalesce("comp", "pos")).drop("comp")
         if min_pts >= 3:
             both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(edges.select("b", "a")).union(counted.select("pos", "pos"))
-            scanned = both.join(placed.select("pos", F.col("seed").alias("component")), "pos").groupBy("component").applyInPandas(lambda g: _scanned(min_pts)(g), "pos long, seed long")
+            scanned = both.join(placed.select("pos", "is_core", F.col("seed").alias("component")), "pos").groupBy("component").applyInPandas(lambda g: _scanned()(g), "pos long, seed long")
             placed = placed.drop("seed").join(scanned, "pos")
         seeded = placed
     numbered, count = _numbered(seeded)
-    assignments = keep(numbered.select("pos", "bag_id", "cluster_id", "is_core"), "assignments")
-    cores = bags.select("pos", "bag_id", "instances").join(assignments.where("is_core").select("pos", "cluster_id"), "pos")
-    return Model(eps, min_pts, dims, metric.lower(), mode, count, assignments, cores)
+    groups = keep(numbered.select("pos", "n", "cluster_id", "is_core"), "groups")
+    if classes:
+        found = classes.members.select("pos", "bag_id", "rep").join(groups.select(F.col("pos").alias("rep"), "cluster_id", "is_core"), "rep")
+    else:
+        found = bags.select("pos", "bag_id").join(groups, "pos")
+    assignments = found.select("pos", "bag_id", "cluster_id", "is_core")
+    core_of = lambda df: df.where("is_core").select("pos", "cluster_id")
+    cores = bags.select("pos", "bag_id", "instances").join(core_of(assignments), "pos")
+    core_groups = nodes.select("pos", "instances").join(core_of(groups), "pos")
+    return Model(eps, min_pts, dims, metric.lower(), mode, count, assignments, cores, groups, core_groups)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff") -> DataFrame:

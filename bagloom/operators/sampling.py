@@ -33,13 +33,17 @@ def exact_split(bags: DataFrame, percent: float, seed: int = 1234) -> tuple[Data
     )
 
 
+def _hashed(seed: int):
+    return F.struct(F.md5(F.concat("bag_id", F.lit(f":{seed}"))), "bag_id")
+
+
 def hash_ranked(bags: DataFrame, seed: int = 1234) -> DataFrame:
     """bag_id with its place in the order of md5(bag_id:seed)."""
-    return with_rank(bags.select("pos", "bag_id"), F.struct(F.md5(F.concat("bag_id", F.lit(f":{seed}"))), "bag_id"), "place")
+    return with_rank(bags.select("pos", "bag_id"), _hashed(seed), "place")
 
 
 def hash_split(bags: DataFrame, percent: float, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
     """A split at any scale: by the order of a hash of the id. Positions stay."""
-    ranked = hash_ranked(bags, seed)
+    ranked = with_rank(bags, _hashed(seed), "place")
     cut = cut_of(ranked.count(), percent)
-    return tuple(bags.join(ranked.where(part).select("pos"), "pos", "left_semi") for part in (F.col("place") < cut, F.col("place") >= cut))
+    return tuple(ranked.where(part).select(*bags.columns) for part in (F.col("place") < cut, F.col("place") >= cut))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import accessors, cluster, epsjoin, evaluate, largebags, projection, sampling, scaling
+from ..operators import accessors, cluster, copies, epsjoin, evaluate, largebags, projection, sampling, scaling
 from ..sources import adapters, arff, synthetic
 from ..storage import keep, shared_dir, table
 
@@ -36,8 +36,14 @@ def kept_orders(spark, d: str) -> DataFrame:
     return _once(spark, d, "bags", lambda: keep(orders(spark, d), "bags"))
 
 
+def kept_classes(spark, d: str) -> copies.Classes:
+    """Orders with equal line items as one."""
+    return _once(spark, d, "classes", lambda: copies.classes(kept_orders(spark, d)))
+
+
 def kept_links(spark, d: str) -> DataFrame:
-    return _once(spark, d, "links", lambda: keep(epsjoin.links(kept_orders(spark, d), EPS, DIMS), "links"))
+    """Links of classes."""
+    return _once(spark, d, "links", lambda: keep(epsjoin.links(kept_classes(spark, d).reps, EPS, DIMS), "links"))
 
 
 def by_dimension(bags: DataFrame) -> DataFrame:
@@ -222,11 +228,13 @@ def customer_eps_neighbours(spark, d):
 
 
 def order_eps_neighbours(spark, d):
-    return epsjoin.links(orders(spark, d), EPS, DIMS).select("a", "b", rounded("dist"))
+    return copies.expanded(kept_links(spark, d).select("a", "b", rounded("dist")), kept_classes(spark, d))
 
 
 def neighbour_count(spark, d):
-    return cluster.neighbour_counts(kept_orders(spark, d), kept_links(spark, d))
+    classes = kept_classes(spark, d)
+    found = cluster.neighbour_counts(classes.reps, kept_links(spark, d)).withColumnRenamed("pos", "rep")
+    return classes.members.select("pos", "rep").join(found, "rep").select("pos", "neighbours")
 
 
 def core_bags(spark, d):
@@ -234,7 +242,7 @@ def core_bags(spark, d):
 
 
 def _model(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> cluster.Model:
-    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d)))
+    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d), classes=kept_classes(spark, d)))
 
 
 def fit_strict(spark, d):
@@ -263,7 +271,7 @@ def cluster_members(spark, d):
 
 
 def distinct_clusters(spark, d):
-    return _model(spark, d).assignments.select("cluster_id").distinct()
+    return _model(spark, d).groups.select("cluster_id").distinct()
 
 
 def model_stats(spark, d):
@@ -271,26 +279,30 @@ def model_stats(spark, d):
 
 
 def _split_model(spark, d):
+    """A model of the training part, the classes of the test part and their distances to cores."""
+
     def made():
-        train, test = (keep(part, name) for part, name in zip(sampling.hash_split(kept_orders(spark, d), PERCENT, SEED), ("train", "test"), strict=True))
-        return cluster.fit(train, EPS, MIN_PTS, "strict", dims=DIMS), test
+        bags, whole = kept_orders(spark, d), kept_classes(spark, d)
+        train, test = (copies.restricted(whole, part) for part in sampling.hash_split(whole.members, PERCENT, SEED))
+        model = cluster.fit(bags, EPS, MIN_PTS, "strict", dims=DIMS, classes=train)
+        return model, test, keep(model.near(test), "near")
 
     return _once(spark, d, "split", made)
 
 
 def predict(spark, d):
-    model, test = _split_model(spark, d)
-    return model.predict(test).select("pos", "cluster_id")
+    model, test, near = _split_model(spark, d)
+    return cluster.nearest(test.members, near, model.core_groups, "rep").select("pos", "cluster_id")
 
 
 def nearest_core(spark, d):
-    model, test = _split_model(spark, d)
-    return epsjoin.near(test, model.cores, EPS, DIMS).groupBy("pos_a").agg(F.round(F.min("dist"), 6).alias("dist")).withColumnRenamed("pos_a", "pos")
+    _, test, near = _split_model(spark, d)
+    least = near.groupBy(F.col("pos_a").alias("rep")).agg(F.round(F.min("dist"), 6).alias("dist"))
+    return test.members.select("pos", "rep").join(least, "rep").select("pos", "dist")
 
 
 def fit_predict(spark, d):
-    bags = kept_orders(spark, d)
-    return _model(spark, d).predict(bags).select("pos", "cluster_id")
+    return _model(spark, d).predict_fitted(kept_orders(spark, d), kept_links(spark, d), kept_classes(spark, d)).select("pos", "cluster_id")
 
 
 def predict_noise_rate(spark, d):
@@ -299,7 +311,9 @@ def predict_noise_rate(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    return evaluate.labelled(_model(spark, d).assignments, kept_orders(spark, d))
+    groups = _model(spark, d).groups.select(F.col("pos").alias("rep"), "cluster_id")
+    assigned = kept_classes(spark, d).members.join(groups, "rep")
+    return assigned.select("pos", "cluster_id", evaluate.as_class(F.col("label")).alias("truth")).where("truth is not null")
 
 
 def cluster_class_map(spark, d):
@@ -322,11 +336,11 @@ def interpretation(spark, d):
 
 def param_grid(spark, d):
     """Clusters and noise for each eps and min_pts; links are computed once."""
-    bags, links = kept_orders(spark, d), kept_links(spark, d)
+    bags, links, classes = kept_orders(spark, d), kept_links(spark, d), kept_classes(spark, d)
     rows = []
     for eps in (0.07, EPS):
         for min_pts in (2, 3):
-            s = cluster.fit(bags, eps, min_pts, "strict", dims=DIMS, links=links).statistics().first()
+            s = cluster.fit(bags, eps, min_pts, "strict", dims=DIMS, links=links, classes=classes).statistics().first()
             rows.append((eps, min_pts, s.clusters, s.cores, s.noise))
     return spark.createDataFrame(rows, "eps double, min_pts int, clusters long, cores long, noise long")
 
