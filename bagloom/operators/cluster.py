@@ -15,7 +15,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,31 +121,45 @@ def _numbered(seeded: DataFrame) -> tuple[DataFrame, int]:
     return seeded.join(seeds, "seed", "left").drop("seed").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE))), seeds.count()
 
 
-def _scanned():
-    """The order-dependent scan of one component: its classes with their neighbours among each other. A class is reached as a
-    whole, since what reaches one member is a neighbour of all, and a seed takes its own copies first."""
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        core = set(group["pos"][group["is_core"]].tolist())
-        for a, b in zip(group["pos"].tolist(), group["other"].tolist(), strict=True):
-            near.setdefault(a, [a])
-            if b != a:
-                near[a].append(b)
-        seed_of: dict[int, int] = {}
-        for seed in sorted(near):
-            if seed in seed_of:
-                continue
-            seed_of[seed] = seed
-            reached = [seed]
-            for at in reached:
-                if at == seed or at in core:
-                    new = [b for b in near[at] if b not in seed_of]
-                    seed_of.update(dict.fromkeys(new, seed))
-                    reached += new
-        return pd.DataFrame({"pos": list(seed_of), "seed": list(seed_of.values())})
-
-    return scan
+def _scan(rows: pa.Table) -> pa.RecordBatch:
+    """The order-dependent scan of whole components: their classes with their neighbours among each other. A class is reached
+    as a whole, since what reaches one member is a neighbour of all, and a seed takes its own copies first."""
+    pos, other = (rows.column(c).to_pylist() for c in ("pos", "other"))
+    near: dict[int, list[int]] = {}
+    for a, b in zip(pos, other, strict=True):
+        near.setdefault(a, []).append(b)
+    core = set(rows.filter(rows.column("is_core")).column("pos").to_pylist())
+    seed_of: dict[int, int] = {}
+    for seed in sorted(near):
+        if seed in seed_of:
+            continue
+        seed_of[seed] = seed
+        reached = [seed]
+        for at in reached:
+            if at == seed or at in core:
+                new = [b for b in near[at] if b not in seed_of]
+                seed_of.update(dict.fromkeys(new, seed))
+                reached += new
+    return pa.RecordBatch.from_arrays([pa.array(list(seed_of), pa.int64()), pa.array(list(seed_of.values()), pa.int64())], names=["pos", "comp"])
+
+
+def _scanned(batches):
+    """Rows (component, pos, other, is_core) sorted by component: the last one may go on, all before it are scanned together."""
+    waiting, open_one = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        component = batch.column(0).to_numpy()
+        begins = int(np.searchsorted(component, component[-1]))
+        if waiting and (begins or component[0] != open_one):
+            yield _scan(pa.Table.from_batches([*waiting, batch.slice(0, begins)]))
+            waiting = []
+        elif begins:
+            yield _scan(pa.Table.from_batches([batch.slice(0, begins)]))
+        waiting.append(batch.slice(begins))
+        open_one = component[-1]
+    if waiting:
+        yield _scan(pa.Table.from_batches(waiting))
 
 
 def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff", dims: int | None = None, links: DataFrame | None = None, classes: Classes | None = None) -> Model:
@@ -177,12 +192,13 @@ def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric:
         seeded = counted.join(seeds, "pos", "left").join(border.withColumnRenamed("a", "pos"), "pos", "left").withColumn("seed", F.coalesce("seed", "near")).drop("near")
     else:
         joined = components(edges).select(F.col("node").alias("pos"), "comp")
-        placed = counted.join(joined, "pos", "left").withColumn("seed", F.coalesce("comp", "pos")).drop("comp")
-        if min_pts >= 3:
-            both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(edges.select("b", "a")).union(counted.select("pos", "pos"))
-            scanned = both.join(placed.select("pos", "is_core", F.col("seed").alias("component")), "pos").groupBy("component").applyInPandas(lambda g: _scanned()(g), "pos long, seed long")
-            placed = placed.drop("seed").join(scanned, "pos")
-        seeded = placed
+        if min_pts >= 3:  # components are many and mostly small, so a task scans its own ones from a sorted stream
+            both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(edges.select("b", "a"))
+            placed = joined.join(counted.select("pos", "is_core"), "pos").select(F.col("comp").alias("component"), "pos", "is_core")
+            rows = both.join(placed, "pos").select("component", "pos", "other", "is_core")
+            tasks = int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            joined = keep(rows.repartition(tasks, "component").sortWithinPartitions("component", "pos").mapInArrow(_scanned, "pos long, comp long"), "scanned")
+        seeded = counted.join(joined, "pos", "left").withColumn("seed", F.coalesce("comp", "pos")).drop("comp")
     numbered, count = _numbered(seeded)
     groups = keep(numbered.select("pos", "n", "cluster_id", "is_core"), "groups")
     if classes:

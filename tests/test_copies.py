@@ -3,6 +3,8 @@
 import math
 import random
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 import pytest
 
 from bagloom.operators import cluster, copies, epsjoin, sampling
@@ -52,6 +54,20 @@ def test_fit_measures_classes(spark, monkeypatch, mode, min_pts):
         assert {r.pos: r.cluster_id for r in model.predict(bags_of(spark, other)).collect()} == {i: nearest(b) for i, b in enumerate(other)}
 
 
+def test_components_are_scanned_from_a_stream():
+    """Components across batches, and many in one, give what each gives by itself; no group of a component is made."""
+    links = [(c * 100 + i, c * 100 + j) for c, n in enumerate((2, 5, 3, 40, 2)) for i in range(n) for j in range(n) if abs(i - j) == 1]
+    rows = pa.table({"component": [a // 100 * 100 for a, _ in links], "pos": [a for a, _ in links], "other": [b for _, b in links], "is_core": [a % 3 == 1 for a, _ in links]})
+    alone = {}
+    for c in range(5):
+        found = cluster._scan(rows.filter(pa.compute.equal(rows.column("component"), c * 100)))
+        alone |= dict(zip(*(found.column(k).to_pylist() for k in (0, 1)), strict=True))
+    for size in (1, 3, 7, 1000):
+        streamed = list(cluster._scanned(iter([*rows.to_batches(max_chunksize=size), rows.to_batches()[0].slice(0, 0)])))
+        pairs = [p for b in streamed for p in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
+        assert len(pairs) == len(alone) and dict(pairs) == alone
+
+
 def test_hash_split_keeps_all_columns(spark):
     bags = bags_of(spark, copied(6, 24))
     train, test = sampling.hash_split(bags, 70, 42)
