@@ -35,6 +35,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that the memo keeps, their greatest length, and bytes that the library encodes at once.
 MEMO, MEMO_CHARS, BATCH_BYTES = 150_000, 48, 256 << 10
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_NEWER = re.compile("[\u0530-\U0010ffff]")
 _ODD = re.compile(r"^\s| |\s$|^$")
 
 
@@ -106,6 +107,10 @@ class Encoder:
         self._ranks = by_ranks(path)
         self._memo: dict = {}
 
+    def _plain(self, text: str) -> bool:
+        """Whether ranks give the library's ids of a text."""
+        return (text.isascii() or not _NEWER.search(text)) and not any(s in text for s in self._special)
+
     def _pack(self, ids):
         return len(ids) if self._only_count else np.asarray(ids, "<u4").tobytes()
 
@@ -114,7 +119,7 @@ class Encoder:
         if self._ranks:
             rest = []
             for k in keys:
-                if not (k.isascii() or max(k) < "\u0530") or any(s in k for s in self._special):
+                if not self._plain(k):
                     rest.append(k)
                 elif lead and not _ODD.search(k):
                     joined.append(k)
@@ -133,7 +138,14 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str | None]) -> list[list]:
-        """For each text, what its pieces give."""
+        """For each text, what its pieces give. Where ids are wanted and ranks give them, a text is one piece: ids of many pieces cost more to keep and join than to make."""
+        if not self._ranks or self._only_count:
+            return self._by_pieces(texts)
+        plain = [bool(t) and self._plain(t) for t in texts]
+        rest = iter(self._by_pieces([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [[self._pack(self._ranks.ids(t))] if p else next(rest) for t, p in zip(texts, plain, strict=True)]
+
+    def _by_pieces(self, texts: list[str | None]) -> list[list]:
         if len(self._memo) > MEMO:
             self._memo.clear()
         known = self._memo
