@@ -29,6 +29,8 @@ from .ranking import with_rank
 
 NOISE = -1
 MODES = ("compat", "strict")
+#: Links whose components one task finds.
+ALONE = 4_000_000
 
 
 @dataclass
@@ -54,7 +56,7 @@ class Model:
         return self.assignments.select("bag_id", "cluster_id")
 
     def sizes(self) -> DataFrame:
-        return self.groups.groupBy("cluster_id").agg(F.sum("n").alias("n"))
+        return sizes(self.groups)
 
     def noise(self) -> DataFrame:
         return self.members(NOISE)
@@ -92,6 +94,11 @@ class Model:
         return f"Model(eps={self.eps}, min_pts={self.min_pts}, mode={self.mode}, clusters={self.cluster_count})"
 
 
+def sizes(groups: DataFrame) -> DataFrame:
+    """(cluster_id, n) of what `grouped` gives: the bags of each cluster."""
+    return groups.groupBy("cluster_id").agg(F.sum("n").alias("n"))
+
+
 def predict(bags: DataFrame, cores: DataFrame, eps: float, dims: int, metric: str = "hausdorff") -> DataFrame:
     near = epsjoin.near(bags, cores, eps, dims, metric) if dims else bags.sparkSession.createDataFrame([], "pos_a long, pos_b long, dist double")
     return nearest(bags, near, cores)
@@ -162,45 +169,50 @@ def _scanned(batches):
         yield _scan(pa.Table.from_batches(waiting))
 
 
-def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff", dims: int | None = None, links: DataFrame | None = None, classes: Classes | None = None) -> Model:
-    """Clusters bags (pos, bag_id, label, instances). classes: those of the bags, if at hand. links: pairs (a, b, dist) already at hand, at this eps or a larger one, of classes if these are given, else of bags."""
-    if not eps > 0:
-        raise ValueError("eps must be positive")
-    if min_pts < 1:
-        raise ValueError("min_pts must be at least 1")
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
-    V.metric(metric)
-    if bags.isEmpty():
-        raise ValueError("no bags to fit")
-    dims = dims or epsjoin.dimensions(bags)
-    if links is None:
-        if classes is None and metric.lower() == "hausdorff":
-            classes = copies.classes(bags)
-        links = epsjoin.links(classes.reps if classes else bags, eps, dims, metric)
-    nodes = classes.reps if classes else bags.select("pos", F.lit(1).cast("long").alias("n"), "instances")
+def grouped(nodes: DataFrame, links: DataFrame, eps: float, min_pts: int, mode: str = "strict") -> tuple[DataFrame, int]:
+    """(pos, n, cluster_id, is_core) of bags or classes of copies (pos, n, ...) by their links (a, b, dist) at eps or a larger one, and the number of clusters."""
     edges = keep(links.where(F.col("dist") <= eps).select("a", "b"), "edges")
     counted = neighbour_counts(nodes, edges).withColumn("is_core", F.col("neighbours") >= min_pts)
     counted = keep(nodes.select("pos", "n").join(counted, "pos"), "counted")
     core = counted.where("is_core").select("pos")
     if mode == "strict":
         between = edges.join(core.withColumnRenamed("pos", "a"), "a", "left_semi").join(core.withColumnRenamed("pos", "b"), "b", "left_semi")
-        joined = components(between).select(F.col("node").alias("pos"), "comp")
+        joined = components(between, ALONE).select(F.col("node").alias("pos"), "comp")
         seeds = keep(core.join(joined, "pos", "left").select("pos", F.coalesce("comp", "pos").alias("seed")), "core-seeds")
         both = edges.select("a", "b").union(edges.select("b", "a"))
         border = both.join(seeds.withColumnRenamed("pos", "b"), "b").groupBy("a").agg(F.min("seed").alias("near"))
         seeded = counted.join(seeds, "pos", "left").join(border.withColumnRenamed("a", "pos"), "pos", "left").withColumn("seed", F.coalesce("seed", "near")).drop("near")
     else:
-        joined = components(edges).select(F.col("node").alias("pos"), "comp")
+        joined = components(edges, ALONE).select(F.col("node").alias("pos"), "comp")
         if min_pts >= 3:  # components are many and mostly small, so a task scans its own ones from a sorted stream
             both = edges.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(edges.select("b", "a"))
             placed = joined.join(counted.select("pos", "is_core"), "pos").select(F.col("comp").alias("component"), "pos", "is_core")
             rows = both.join(placed, "pos").select("component", "pos", "other", "is_core")
-            tasks = int(bags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             joined = keep(rows.repartition(tasks, "component").sortWithinPartitions("component", "pos").mapInArrow(_scanned, "pos long, comp long"), "scanned")
         seeded = counted.join(joined, "pos", "left").withColumn("seed", F.coalesce("comp", "pos")).drop("comp")
     numbered, count = _numbered(seeded)
-    groups = keep(numbered.select("pos", "n", "cluster_id", "is_core"), "groups")
+    return keep(numbered.select("pos", "n", "cluster_id", "is_core"), "groups"), count
+
+
+def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric: str = "hausdorff", dims: int | None = None, links: DataFrame | None = None, classes: Classes | None = None, groups: tuple[DataFrame, int] | None = None) -> Model:
+    """Clusters bags (pos, bag_id, label, instances). classes: those of the bags, if at hand. links: pairs (a, b, dist) already at hand, at this eps or a larger one, of classes if these are given, else of bags. groups: what `grouped` gave for these."""
+    if not eps > 0:
+        raise ValueError("eps must be positive")
+    if min_pts < 1:
+        raise ValueError("min_pts must be at least 1")
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    V.metric(metric)
+    if bags.isEmpty():
+        raise ValueError("no bags to fit")
+    dims = dims or epsjoin.dimensions(bags)
+    if links is None:
+        if classes is None and metric.lower() == "hausdorff":
+            classes = copies.classes(bags)
+        links = epsjoin.links(classes.reps if classes else bags, eps, dims, metric)
+    nodes = classes.reps if classes else bags.select("pos", F.lit(1).cast("long").alias("n"), "instances")
+    groups, count = groups or grouped(nodes, links, eps, min_pts, mode)
     if classes:
         found = classes.members.select("pos", "bag_id", "rep").join(groups.select(F.col("pos").alias("rep"), "cluster_id", "is_core"), "rep")
     else:

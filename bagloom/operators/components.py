@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import keep
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(batches):
+    """All links (a, b) in one go: roots that are linked are hung under the lesser one until none are."""
+    found = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if not found:
+        return
+    ends = np.concatenate([np.concatenate(side) for side in zip(*found, strict=True)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "comp"])
+
+
+def components(links: DataFrame, alone: int = 0) -> DataFrame:
     """Rows (a, b) of links give rows (node, comp): the least node that each can reach.
 
     Each round takes the least label among neighbours and then the label of that label, so long chains halve.
     Labels are written to the shared folder after each round. A node with very many links is a skewed join key,
-    which adaptive execution splits; labels of its neighbours meet as partial minima."""
+    which adaptive execution splits; labels of its neighbours meet as partial minima. Up to `alone` links, counted in both
+    directions, are less work for one task than the rounds are for the cluster."""
     both = keep(links.where("a <> b").select("a", "b").union(links.where("a <> b").select("b", "a")).distinct(), "links")
+    if alone and both.count() <= alone:
+        return keep(both.where("a < b").coalesce(1).mapInArrow(_joined, "node long, comp long"), "labels")
     labels = keep(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))

@@ -4,13 +4,15 @@ Copies are at distance 0 from each other and at the same distance from every oth
 between one bag of each class of copies, weighted by the class's size, and holds for all its members; pairs of members
 are made only where they are asked for.
 
-A key of 128 bits of SHA-256 over the sorted instances stands for a class. Values that are equal but written differently
-(0.0 and -0.0) make classes of their own, which are linked like any others. Bags that are empty or hold a value that is
+A key of 128 bits of SHA-256 over the sorted instances stands for a class. Where bags come as rows, its key is the number of
+its instances and sums of four 32-bit parts of their hashes, which need neither lists nor sorting. Values that are equal but written differently
+(0.0 and -0.0) may make classes of their own, which are linked like any others. Bags that are empty or hold a value that is
 no finite number have no neighbours, not even copies of themselves: each is a class by itself."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +23,15 @@ from ..storage import keep
 LISTED = 1000
 
 
-@dataclass
 class Classes:
-    """`members`: bags without their instances, with `rep`, the least position of their class, and `n`, its size. `reps`: pos, n, instances of one bag of each class."""
+    """`members`: bags without their instances, with `rep`, the least position of their class, and `n`, its size; may be made when first asked for. `reps`: pos, n, instances of one bag of each class."""
 
-    members: DataFrame
-    reps: DataFrame
+    def __init__(self, members: DataFrame | Callable[[], DataFrame], reps: DataFrame):
+        self._members, self.reps = members, reps
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return self._members() if callable(self._members) else self._members
 
 
 def classes(bags: DataFrame) -> Classes:
@@ -41,6 +46,34 @@ def classes(bags: DataFrame) -> Classes:
     return Classes(members, reps)
 
 
+def classes_of_rows(rows: DataFrame, known: DataFrame) -> Classes:
+    """The classes of bags whose instances are rows (pos, a column for each dimension); known: (pos, label) of the bags that count.
+
+    Only sums move; instances are fetched for one bag of each class."""
+    values = [F.col(c) for c in rows.columns if c != "pos"]
+    sound = reduce(lambda a, b: a & b, [F.coalesce(F.abs(v) < float("inf"), F.lit(False)) for v in values])  # NaN is above infinity
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    hashes = [F.when(sound, F.xxhash64(F.lit(seed), *values)).alias(f"hash{seed}") for seed in (1, 2)]
+    each = rows.select("pos", one.alias("size"), *hashes).union(known.select("pos", zero, zero, zero)).where("pos is not null")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lanes = [f(F.coalesce(f"hash{seed}", zero)) for seed in (1, 2) for f in (lambda h: h.bitwiseAND(0xFFFFFFFF), lambda h: F.shiftrightunsigned(h, 32))]
+    names = [f"sum{k}" for k in range(len(lanes))]
+    each = each.repartition(tasks, "pos")  # rows of a bag lie far apart, so aggregating before they move would not make them fewer
+    sums = each.groupBy("pos").agg(F.sum("size").alias("size"), F.max(F.col("hash1").isNull()).alias("lone"), F.min("size").alias("least"), *[F.sum(v).alias(c) for v, c in zip(lanes, names, strict=True)]).where("least = 0 and size > 0")
+    own = [F.lit(-1).cast("long"), F.col("pos"), *[zero] * (len(lanes) - 1)]  # the key of a bag that is a class by itself
+    key = ["size", *names]
+    keyed = sums.select("pos", *[F.when(F.col("lone"), v).otherwise(F.col(c)).alias(c) for v, c in zip(own, key, strict=True)])
+    found = keep(keyed.groupBy(key).agg(F.min("pos").alias("rep"), F.count("*").alias("n")), "classes")
+
+    def members() -> DataFrame:
+        labels = known.groupBy("pos").agg(F.max("label").alias("label"))
+        return keep(keyed.join(found, key).join(labels, "pos").select("pos", F.col("pos").cast("string").alias("bag_id"), "label", "rep", "n"), "members")
+
+    fetched = rows.join(found.select(F.col("rep").alias("pos"), "n"), "pos")
+    reps = fetched.groupBy("pos", "n").agg(F.sort_array(F.collect_list(F.array(*values))).alias("instances"))
+    return Classes(members, keep(reps, "reps"))
+
+
 def restricted(whole: Classes, some: DataFrame) -> Classes:
     """The classes of some of the members, named anew by their least positions."""
     found = keep(some.groupBy("rep").agg(F.min("pos").alias("least"), F.count("*").alias("own")), "classes")

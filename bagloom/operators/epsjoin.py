@@ -33,6 +33,8 @@ from ..storage import keep
 COMPARED, DIRECTIONS, CELL, COORDINATES = 16, 5, 1.5, 3
 #: Bags that a bag meets in its cell, on average, above which one more coordinate is cut; right bags of a cell's part.
 BUSY, CROWDED = 500, 50_000
+#: Boxes up to which one task chooses the coordinates to cut.
+FEW = 500_000
 #: Rows that a task sweeps together, and pairs that it holds at once.
 ROWS, PAIRS = 200_000, 1 << 17
 
@@ -121,6 +123,37 @@ def _cut(boxes: DataFrame, wide: float) -> tuple[list[str], str]:
             return chosen, best.c
 
 
+def _cut_few(boxes: DataFrame, wide: float) -> tuple[list[str], str]:
+    """As `_cut`, in one task instead of a job for each coordinate."""
+    names = [c for c in boxes.columns if c[0] == "c"]
+    width = CELL * wide
+
+    def run(batches):
+        rows = [np.column_stack([column.to_numpy() for column in batch.columns]) for batch in batches if batch.num_rows]
+        cells = np.floor(np.concatenate(rows) / width).astype(np.int64)
+        own, chosen, busy = np.zeros(len(cells), np.int64), [], True
+        while True:
+            counted = []
+            for k, c in enumerate(names):
+                if c not in chosen:
+                    _, place = np.unique(cells[:, k], return_inverse=True)
+                    kinds, n = np.unique(own * (place.max() + 1) + place, return_counts=True)
+                    counted.append((float((n.astype(float) ** 2).sum()), c))
+            pairs, best = min(counted)
+            if chosen and (len(chosen) == min(COORDINATES, len(names) - 1) or not busy):
+                break
+            chosen.append(best)
+            busy = pairs > BUSY * len(cells)
+            if len(chosen) == len(names):
+                break
+            _, place = np.unique(cells[:, names.index(best)], return_inverse=True)
+            _, own = np.unique(own * (place.max() + 1) + place, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array([chosen]), pa.array([best])], names=["chosen", "sweep"])
+
+    found = boxes.select(names).coalesce(1).mapInArrow(run, "chosen array<string>, sweep string").first()
+    return found.chosen, found.sweep
+
+
 def near(left: DataFrame, right: DataFrame, eps: float, dims: int, metric: str = "hausdorff") -> DataFrame:
     """(pos_a, pos_b, dist) of all pairs of a left and a right bag with dist <= eps."""
     if metric.lower() != "hausdorff":
@@ -135,7 +168,7 @@ def candidates(a: DataFrame, b: DataFrame, eps: float, once: bool = False) -> Da
     if found.n == 0 or not math.isfinite(found.greatest):
         return a.sparkSession.createDataFrame([], "pos_a long, pos_b long")
     wide = eps * (1 + 1e-9) + 1e-9 * found.greatest
-    cut, sweep = ([], names[0]) if found.n <= BUSY else _cut(a, wide)
+    cut, sweep = ([], names[0]) if found.n <= BUSY else (_cut_few if found.n <= FEW else _cut)(a, wide)
     width = CELL * wide
     words = [c for c in a.columns if c[0] in "wr"]
     x, y = a, b

@@ -38,7 +38,7 @@ def kept_orders(spark, d: str) -> DataFrame:
 
 def kept_classes(spark, d: str) -> copies.Classes:
     """Orders with equal line items as one."""
-    return _once(spark, d, "classes", lambda: copies.classes(kept_orders(spark, d)))
+    return _once(spark, d, "classes", lambda: copies.classes_of_rows(*adapters.order_rows(spark, d)))
 
 
 def kept_links(spark, d: str) -> DataFrame:
@@ -241,8 +241,13 @@ def core_bags(spark, d):
     return neighbour_count(spark, d).where(F.col("neighbours") >= MIN_PTS).select("pos")
 
 
+def _groups(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> tuple[DataFrame, int]:
+    """Clusters of classes; no bags are made for them."""
+    return _once(spark, d, f"groups {mode} {min_pts}", lambda: cluster.grouped(kept_classes(spark, d).reps, kept_links(spark, d), EPS, min_pts, mode))
+
+
 def _model(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> cluster.Model:
-    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d), classes=kept_classes(spark, d)))
+    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d), classes=kept_classes(spark, d), groups=_groups(spark, d, mode, min_pts)))
 
 
 def fit_strict(spark, d):
@@ -259,7 +264,7 @@ def fit_compat_ordered(spark, d):
 
 
 def cluster_sizes(spark, d):
-    return _model(spark, d).sizes()
+    return cluster.sizes(_groups(spark, d)[0])
 
 
 def noise_bags(spark, d):

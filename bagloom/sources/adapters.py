@@ -16,11 +16,26 @@ def bags_of(rows: DataFrame, key: str, vector: list[Column], label: Column | Non
     return made.groupBy("pos").agg(F.max("label").alias("label"), F.sort_array(F.collect_list("p")).alias("instances")).select("pos", F.col("pos").cast("string").alias("bag_id"), "label", "instances")
 
 
+def _line() -> list[Column]:
+    return [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+
+
+def _finished() -> Column:
+    return F.when(F.col("o_orderstatus") == "F", "1").otherwise("0")
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as (pos, v0, v1, v2) and orders as (pos, label): what `order_bags` makes bags of."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    rows = lines.select(F.col("l_orderkey").cast("long").alias("pos"), *[v.cast("double").alias(f"v{k}") for k, v in enumerate(_line())])
+    return rows, orders.select(F.col("o_orderkey").cast("long").alias("pos"), _finished().alias("label"))
+
+
 def order_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as bags of line items (quantity, discount and tax, scaled to 0-1); finished orders are positive."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    bags = bags_of(lines, "l_orderkey", [F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5]).drop("label")
-    status = orders.select(F.col("o_orderkey").alias("pos"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("0").alias("label"))
+    bags = bags_of(lines, "l_orderkey", _line()).drop("label")
+    status = orders.select(F.col("o_orderkey").alias("pos"), _finished().alias("label"))
     return bags.join(status, "pos").select("pos", "bag_id", "label", "instances")
 
 
