@@ -30,7 +30,7 @@ from .ranking import with_rank
 NOISE = -1
 MODES = ("compat", "strict")
 #: Links whose components one task finds.
-ALONE = 4_000_000
+ALONE = 8_000_000
 
 
 @dataclass
@@ -113,11 +113,15 @@ def nearest(bags: DataFrame, near: DataFrame, cores: DataFrame, by: str = "pos")
 
 
 def neighbour_counts(bags: DataFrame, links: DataFrame) -> DataFrame:
-    """(pos, neighbours), each counting itself; rows of classes count `n`, if there is such a column."""
+    """(pos, neighbours), each counting itself; rows of classes count `n`, if there is such a column; links may hold it as n_a, n_b."""
     size = F.col("n") if "n" in bags.columns else F.lit(1)
     sized = bags.select("pos", size.cast("long").alias("n"))
-    ends = links.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(links.select("b", "a"))
-    others = ends.join(sized.withColumnsRenamed({"pos": "other", "n": "others"}), "other").groupBy("pos").agg(F.sum("others").alias("others"))
+    if "n" in bags.columns and {"n_a", "n_b"} <= set(links.columns):
+        ends = links.select(F.col("a").alias("pos"), F.col("n_b").alias("others")).union(links.select("b", "n_a"))
+    else:
+        ends = links.select(F.col("a").alias("pos"), F.col("b").alias("other")).union(links.select("b", "a"))
+        ends = ends.join(sized.withColumnsRenamed({"pos": "other", "n": "others"}), "other")
+    others = ends.groupBy("pos").agg(F.sum("others").alias("others"))
     return sized.join(others, "pos", "left").select("pos", (F.coalesce("others", F.lit(0)) + F.col("n")).alias("neighbours"))
 
 
@@ -170,17 +174,18 @@ def _scanned(batches):
 
 
 def grouped(nodes: DataFrame, links: DataFrame, eps: float, min_pts: int, mode: str = "strict") -> tuple[DataFrame, int]:
-    """(pos, n, cluster_id, is_core) of bags or classes of copies (pos, n, ...) by their links (a, b, dist) at eps or a larger one, and the number of clusters."""
-    edges = keep(links.where(F.col("dist") <= eps).select("a", "b"), "edges")
-    counted = neighbour_counts(nodes, edges).withColumn("is_core", F.col("neighbours") >= min_pts)
-    counted = keep(nodes.select("pos", "n").join(counted, "pos"), "counted")
+    """(pos, n, cluster_id, is_core) of bags or classes of copies (pos, n, ...) by their written links (a, b, dist) at eps or a larger one, and the number of clusters."""
+    edges = links.where(F.col("dist") <= eps)
+    counted = neighbour_counts(nodes, edges).join(nodes.select("pos", "n"), "pos")
+    counted = keep(counted.select("pos", "n", "neighbours", (F.col("neighbours") >= min_pts).alias("is_core")), "counted")
     core = counted.where("is_core").select("pos")
     if mode == "strict":
-        between = edges.join(core.withColumnRenamed("pos", "a"), "a", "left_semi").join(core.withColumnRenamed("pos", "b"), "b", "left_semi")
-        joined = components(between, ALONE).select(F.col("node").alias("pos"), "comp")
+        ends = [core.select(F.col("pos").alias(side), F.lit(True).alias(f"core_{side}")) for side in "ab"]
+        marked = keep(edges.drop("dist", "n_a", "n_b").join(ends[0], "a", "left").join(ends[1], "b", "left").where("core_a or core_b"), "marked")
+        joined = components(marked.where("core_a and core_b"), ALONE).select(F.col("node").alias("pos"), "comp")
         seeds = keep(core.join(joined, "pos", "left").select("pos", F.coalesce("comp", "pos").alias("seed")), "core-seeds")
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        border = both.join(seeds.withColumnRenamed("pos", "b"), "b").groupBy("a").agg(F.min("seed").alias("near"))
+        lone = marked.where("core_a is null or core_b is null").select(F.when(F.col("core_a").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("core_a").isNull(), F.col("b")).otherwise(F.col("a")).alias("b"))
+        border = lone.join(seeds.withColumnRenamed("pos", "b"), "b").groupBy("a").agg(F.min("seed").alias("near"))
         seeded = counted.join(seeds, "pos", "left").join(border.withColumnRenamed("a", "pos"), "pos", "left").withColumn("seed", F.coalesce("seed", "near")).drop("near")
     else:
         joined = components(edges, ALONE).select(F.col("node").alias("pos"), "comp")
@@ -210,7 +215,7 @@ def fit(bags: DataFrame, eps: float, min_pts: int, mode: str = "strict", metric:
     if links is None:
         if classes is None and metric.lower() == "hausdorff":
             classes = copies.classes(bags)
-        links = epsjoin.links(classes.reps if classes else bags, eps, dims, metric)
+        links = keep(epsjoin.links(classes.reps if classes else bags, eps, dims, metric), "links")
     nodes = classes.reps if classes else bags.select("pos", F.lit(1).cast("long").alias("n"), "instances")
     groups, count = groups or grouped(nodes, links, eps, min_pts, mode)
     if classes:

@@ -14,7 +14,7 @@ are kept for the axes (up to COMPARED) and some random directions: bounds as num
 3. Distance. The pairs that are left fetch their bags, and one kernel measures batches of pairs.
 
 Bounds are widened by a relative 1e-9 against rounding. Bags that are empty or hold a value that is no finite number
-have no neighbours and leave early. The bounds hold for the Hausdorff distance; other metrics compare all pairs."""
+have no neighbours and leave early. Where values leave gaps, `gapjoin` takes over. The bounds hold for the Hausdorff distance; other metrics compare all pairs."""
 
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions import vectors as V
 from ..storage import keep
+from . import gapjoin
 
 #: Axes and random directions that are compared, the width of a cell in eps, coordinates that are cut at most.
 COMPARED, DIRECTIONS, CELL, COORDINATES = 16, 5, 1.5, 3
@@ -69,8 +70,10 @@ def _words(along: np.ndarray, reach: np.ndarray, starts: np.ndarray, width: floa
     return np.bitwise_or.reduceat(bit(np.floor(along / width)), starts), np.bitwise_or.reduceat(reached, starts)
 
 
-def _boxed(bags: DataFrame, dims: int, eps: float) -> DataFrame:
-    """pos, bag; c0, c1, ...: least and greatest value of each direction; w and r: occupied and reached cells; written, so that they are computed once."""
+def _boxed(bags: DataFrame, dims: int, eps: float, gaps: list[np.ndarray] | None = None) -> DataFrame:
+    """pos, bag; c0, c1, ...: least and greatest value of each direction; w and r: occupied and reached cells; written, so that they are computed once. gaps: keys by the regions between these instead."""
+    if gaps is not None:
+        return keep(gapjoin.keyed(bags, dims, gaps), "keyed")
     along_of = directions(dims)
     n = len(along_of)
     names = ["pos", "bag", *(f"c{k}" for k in range(2 * n)), *(f"w{k}" for k in range(n)), *(f"r{k}" for k in range(n))]
@@ -158,6 +161,10 @@ def near(left: DataFrame, right: DataFrame, eps: float, dims: int, metric: str =
     """(pos_a, pos_b, dist) of all pairs of a left and a right bag with dist <= eps."""
     if metric.lower() != "hausdorff":
         return _measured(blocked(left, right), dims, metric).where(F.col("dist") <= eps)
+    if gaps := gapjoin.gaps(left.select("instances").union(right.select("instances")), dims, eps):
+        found = gapjoin.joined(_boxed(left, dims, eps, gaps[0]), _boxed(right, dims, eps, gaps[0]), dims, eps, gaps)
+        if found is not None:
+            return found.select("pos_a", "pos_b", "dist")
     return _near(_boxed(left, dims, eps), _boxed(right, dims, eps), eps, dims)
 
 
@@ -270,12 +277,16 @@ def _measured(pairs: DataFrame, dims: int, metric: str) -> DataFrame:
 
 
 def links(bags: DataFrame, eps: float, dims: int | None = None, metric: str = "hausdorff") -> DataFrame:
-    """(a, b, dist) with a < b of all pairs of one set within eps."""
+    """(a, b, dist) with a < b of all pairs of one set within eps; of classes perhaps also their sizes n_a, n_b and part; those of different parts share no class."""
     dims = dims or dimensions(bags)
     if dims == 0:
         return bags.sparkSession.createDataFrame([], "a long, b long, dist double")
     if metric.lower() != "hausdorff":
         return all_pairs(bags, dims, metric).where(F.col("dist") <= eps)
+    if gaps := gapjoin.gaps(bags, dims, eps):
+        found = gapjoin.joined(_boxed(bags, dims, eps, gaps[0]), None, dims, eps, gaps)
+        if found is not None:
+            return found.toDF("a", "b", "dist", "n_a", "n_b", "part") if "n" in bags.columns else found.select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "dist")
     boxes = _boxed(bags, dims, eps)
     found = _near(boxes, boxes, eps, dims, once=True)
     return found.select(F.col("pos_a").alias("a"), F.col("pos_b").alias("b"), "dist")

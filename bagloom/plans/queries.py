@@ -247,7 +247,7 @@ def _groups(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> tuple[Dat
 
 
 def _model(spark, d, mode: str = "strict", min_pts: int = MIN_PTS) -> cluster.Model:
-    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_orders(spark, d), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d), classes=kept_classes(spark, d), groups=_groups(spark, d, mode, min_pts)))
+    return _once(spark, d, f"model {mode} {min_pts}", lambda: cluster.fit(kept_classes(spark, d).bags(), EPS, min_pts, mode, dims=DIMS, links=kept_links(spark, d), classes=kept_classes(spark, d), groups=_groups(spark, d, mode, min_pts)))
 
 
 def fit_strict(spark, d):
@@ -287,9 +287,9 @@ def _split_model(spark, d):
     """A model of the training part, the classes of the test part and their distances to cores."""
 
     def made():
-        bags, whole = kept_orders(spark, d), kept_classes(spark, d)
+        whole = kept_classes(spark, d)
         train, test = (copies.restricted(whole, part) for part in sampling.hash_split(whole.members, PERCENT, SEED))
-        model = cluster.fit(bags, EPS, MIN_PTS, "strict", dims=DIMS, classes=train)
+        model = cluster.fit(whole.bags(), EPS, MIN_PTS, "strict", dims=DIMS, classes=train)
         return model, test, keep(model.near(test), "near")
 
     return _once(spark, d, "split", made)
@@ -307,7 +307,7 @@ def nearest_core(spark, d):
 
 
 def fit_predict(spark, d):
-    return _model(spark, d).predict_fitted(kept_orders(spark, d), kept_links(spark, d), kept_classes(spark, d)).select("pos", "cluster_id")
+    return _model(spark, d).predict_fitted(kept_classes(spark, d).members, kept_links(spark, d), kept_classes(spark, d)).select("pos", "cluster_id")
 
 
 def predict_noise_rate(spark, d):
@@ -341,7 +341,8 @@ def interpretation(spark, d):
 
 def param_grid(spark, d):
     """Clusters and noise for each eps and min_pts; links are computed once."""
-    bags, links, classes = kept_orders(spark, d), kept_links(spark, d), kept_classes(spark, d)
+    links, classes = kept_links(spark, d), kept_classes(spark, d)
+    bags = classes.bags()
     rows = []
     for eps in (0.07, EPS):
         for min_pts in (2, 3):
